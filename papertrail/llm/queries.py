@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papertrail.llm import langid, lattice
+from papertrail.llm.decontam import contained_items
 from papertrail.llm.exact_dedup import exact_groups
+from papertrail.llm.html import extract
 from papertrail.llm.packing import pack
+from papertrail.llm.simhash import simhash_components
 from papertrail.llm.token_count import token_counts
 from papertrail.llm.token_store import token_files
 
@@ -17,10 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str, n: int) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.labelled_sample(docs, fold("doc_id", 3) != 1, text_col="text", lang_col="lang")
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(rows, learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     found = exact_groups(table(spark, sf_dir, "documents"), extra={"text_sha256": digest})
@@ -31,18 +54,45 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    return lattice.score(docs, ~held_out).withColumn("held_out", held_out)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_token_counts, op5_exact_dedup, op6_token_ids, op9_packing]
+    own = [op1_simhash_neardup, op2_token_counts, op3_language_id, op4_decontamination, op5_exact_dedup, op6_token_ids, op7_lm_score, op8_html_extraction, op9_packing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_DEDUP}
-
+    return {"op4_decontamination": DECONTAMINATION, "op5_exact_dedup": EXACT_DEDUP}
+
+
+DECONTAMINATION = """
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') FROM benchmark
+), item AS (
+  SELECT DISTINCT id AS item_id, least(5, len(w)) AS k, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE kind = 'i' AND len(w) > 0)
+), doc AS (
+  SELECT DISTINCT id AS doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM item) WHERE kind = 'd' AND len(w) >= k)
+), size AS (SELECT item_id, count(*) AS n_item FROM item GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM doc JOIN item USING (k, s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9
+"""
 
 EXACT_DEDUP = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)

@@ -34,51 +34,73 @@ class WordEncoder:
     """Ids of `word_bpe_49k.json` (tokenizers library, add_special_tokens=False) as little-endian unsigned 32-bit bytes.
 
     The tokenizer's patterns match no white space, its normaliser composes nothing across it and its added tokens hold
-    none, so ASCII white space always ends a token: the ids of a text are those of its words. Each word goes through the
-    library once and is remembered.
+    none, so ASCII white space always ends a token: the ids of a text are those of its words. It lower-cases, so words are
+    kept in lower case. Letters and the marks behind them are tokens apart (an apostrophe need not be). Each word goes
+    through the library once and is remembered.
     """
 
+    MARKS = ".,;:!?%$#&*|)]}\""
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.between_id, token = min((k, t.content) for k, t in self.library.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized))
-        self.between = token.encode()
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added_head = os.path.commonprefix(added).encode() if added else None
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: Iterable[bytes]) -> None:
         import numpy as np
 
         if len(self.known) > CACHED:  # and the words asked for now
             self.known = dict(islice(self.known.items(), CACHED // 4))
-        new = [w for w in words if w not in self.known]
-        plain = [w for w in new if self.between not in w]
-        for w in set(new).difference(plain):
-            self.known[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        # one call for all: an added token is split off before anything else happens to a text, so it may stand between them
-        ids = np.array(self.library.encode(self.between.join(plain).decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
-        ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(plain, ends, strict=bool(plain)):
-            self.known[w] = raw[4 * at : 4 * end]
-            at = end + 1
+        known, plain, hard = self.known, [], []
+        for w in words:
+            if w not in known:
+                s = w.decode("utf-8", "replace")
+                stem = s.rstrip(self.MARKS)
+                if stem.isalpha() and stem.lower().isalpha():
+                    plain.append((w, stem.encode(), s[len(stem) :].encode()))
+                else:
+                    hard.append(w)
+        hard += {t for _, _, t in plain if t and t not in known}
+        known.update(zip(hard, self._ids([w.decode("utf-8", "replace") for w in hard]), strict=True))
+        stems = list({x for _, x, _ in plain if x not in known})
+        for a in range(0, len(stems), 1000):  # a word of letters ends with the only id that has an end mark
+            own = stems[a : a + 1000]
+            raw = self._ids([b" ".join(own).decode()])[0]
+            stops = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1).tolist()
+            known.update(zip(own, (raw[4 * i : 4 * j] for i, j in zip([0, *stops], stops)), strict=True))
+        for w, x, t in plain:
+            if t:
+                known[w] = known[x] + known[t]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Texts with new words wait until the words of all of them are learned at once."""
         done: list[bytes] = []
         waiting: list[int] = []
+        words = lambda raw: (raw if self.added_head is not None and self.added_head in raw else raw.lower()).split()  # noqa: E731  bytes: A-Z, ASCII white space
         for i, raw in enumerate(texts):
             try:
-                done.append(b"".join(map(self.known.__getitem__, raw.split())))  # bytes: ASCII white space only
+                done.append(b"".join(map(self.known.__getitem__, words(raw))))
             except KeyError:
                 done.append(b"")
                 waiting.append(i)
         for at in range(0, len(waiting), 2000):
             own = waiting[at : at + 2000]
-            self._learn(set().union(*(texts[i].split() for i in own)))
+            self._learn(set().union(*(words(texts[i]) for i in own)))
             for i in own:
-                done[i] = b"".join(map(self.known.__getitem__, texts[i].split()))
+                done[i] = b"".join(map(self.known.__getitem__, words(texts[i])))
         return done
 
 
