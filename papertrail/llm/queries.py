@@ -12,6 +12,7 @@ from papertrail.llm.decontam import contained_items
 from papertrail.llm.exact_dedup import exact_groups
 from papertrail.llm.html import extract
 from papertrail.llm.packing import pack
+from papertrail.llm.pii import replace_private
 from papertrail.llm.simhash import simhash_components
 from papertrail.llm.token_count import token_counts
 from papertrail.llm.token_store import token_files
@@ -68,8 +69,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_private(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_neardup, op2_token_counts, op3_language_id, op4_decontamination, op5_exact_dedup, op6_token_ids, op7_lm_score, op8_html_extraction, op9_packing]
+    own = [op1_simhash_neardup, op2_token_counts, op3_language_id, op4_decontamination, op5_exact_dedup, op6_token_ids, op7_lm_score, op8_html_extraction, op9_packing, op10_pii_surrogates]
     return {f.__name__: f for f in own}
 
 
