@@ -28,27 +28,49 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     the heaviest windows of one onto the lightest of the other, until one is left.
     """
     tree: list[tuple[int, int]] = []  # node n + j joins two nodes; nodes below n are items
-    n = len(sizes)
-    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = [(-s, i, np.array([s]), np.array([i])) for i, s in enumerate(sizes)]
-    heapq.heapify(heap)  # of each: minus the spread, a tie-break, sums over zero in falling order, their nodes
-    while len(heap) > 1:
-        _, t, a, na = heapq.heappop(heap)
-        _, _, b, nb = heapq.heappop(heap)
+    n, order = len(sizes), np.argsort(-np.asarray(sizes), kind="stable")
+    falling = np.asarray(sizes)[order]
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # of partial partitions: minus the spread, a tie-break, sums over zero in falling order, their nodes
+    at = turn = 0
+
+    def push(sums: np.ndarray, nodes: np.ndarray) -> None:
+        nonlocal turn
+        low, turn = int(sums[-1]) if len(sums) == k else 0, turn + 1
+        heapq.heappush(heap, (low - int(sums[0]), turn, sums - low if low else sums, nodes))
+
+    def item() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal at
+        at += 1
+        return falling[at - 1 : at], order[at - 1 : at]
+
+    while at < n or len(heap) > 1:
+        top = -heap[0][0] if heap else -1
+        if at < n and falling[at] >= top:
+            # Items merge with items as long as none of the partitions has a larger spread: until the new one has k of
+            # them, its spread is its first item, which is the largest of all.
+            end = min(n, at + k, at + int(np.searchsorted(-falling[at:], -top, side="right")))
+            a, na, at = falling[at:end], order[at:end], end
+            if len(a) == k or not heap:
+                push(a, na)
+                continue
+            b, nb = heapq.heappop(heap)[2:]
+        else:
+            a, na = heapq.heappop(heap)[2:]
+            b, nb = item() if at < n and (not heap or falling[at] >= -heap[0][0]) else heapq.heappop(heap)[2:]
         both = len(a) + len(b) - k
         if both > 0:  # heavy on light: the windows that meet are the lightest of either
             keep = len(a) - both
             met = a[keep:] + b[len(b) - both :][::-1]
             nodes = np.arange(n + len(tree), n + len(tree) + both)
             tree.extend(zip(na[keep:].tolist(), nb[len(b) - both :][::-1].tolist(), strict=True))
-            sums, ids = np.concatenate([a[:keep], met, b[: len(b) - both]]), np.concatenate([na[:keep], nodes, nb[: len(b) - both]])
+            a, na = np.concatenate([a[:keep], met, b[: len(b) - both]]), np.concatenate([na[:keep], nodes, nb[: len(b) - both]])
         else:
-            sums, ids = np.concatenate([a, b]), np.concatenate([na, nb])
-        order = np.argsort(-sums, kind="stable")
-        sums, ids = sums[order], ids[order]
-        low = int(sums[-1]) if len(sums) == k else 0
-        heapq.heappush(heap, (low - int(sums[0]), t, sums, ids))
+            a, na = np.concatenate([a, b]), np.concatenate([na, nb])
+        sort = np.argsort(-a, kind="stable")
+        a, na = a[sort], na[sort]
+        push(a, na)
     windows = []
-    for node in heap[0][3].tolist() if heap else []:
+    for node in heap[0][3].tolist() if n else []:
         items, todo = [], [node]
         while todo:
             x = todo.pop()
@@ -87,8 +109,9 @@ def pieces(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int, int]
     return full, items
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 1, capacity: int = 2048) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 1, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids (as
+    little-endian unsigned 32-bit numbers) if asked for.
 
     Every text is encoded whole and gets `end`; each of its ids lies in exactly one piece. Documents of a capacity or
     more give full windows; what remains is packed by Karmarkar-Karp multiway differencing in blocks of at most 1,500
@@ -122,7 +145,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
             d, start, length, seq, offset = zip(*rows, strict=True)
             ids = [texts[i][4 * s : 4 * (s + n)] for i, s, n in zip(d, start, length, strict=True)]
             long = lambda x: pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in d], id_type), long(start), long(length), pa.array(ids, pa.binary()), long([zlib.crc32(x) for x in ids]), long([lengths[i] for i in d]), long(seq), long(offset)], names=names)
+            columns = [pa.array([keys[i] for i in d], id_type), long(start), long(length), long([zlib.crc32(x) for x in ids]), long([lengths[i] for i in d]), long(seq), long(offset)]
+            return pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if with_ids else []), names=names)
 
         keys: list = []
         texts: list[bytes] = []
@@ -139,7 +163,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         if keys:
             yield block(keys, texts, id_type)
 
-    names = ["id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else [])
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    out = rows.mapInArrow(packed, f"id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = rows.mapInArrow(packed, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)

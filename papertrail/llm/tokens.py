@@ -10,7 +10,7 @@ from itertools import islice
 
 #: Words that a Python worker remembers, about 0.2 KB each. At the limit it keeps the quarter it met first, which holds
 #: the frequent ones, so that memory stays bounded.
-CACHED = 1_000_000
+CACHED = 1_600_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -62,45 +62,39 @@ class WordEncoder:
     def _learn(self, words: Iterable[bytes]) -> None:
         import numpy as np
 
-        if len(self.known) > CACHED:  # and the words asked for now
-            self.known = dict(islice(self.known.items(), CACHED // 4))
-        known, plain, hard = self.known, [], []
-        for w in words:
-            if w not in known:
-                s = w.decode("utf-8", "replace")
-                stem = s.rstrip(self.MARKS)
-                if stem.isalpha() and stem.lower().isalpha():
-                    plain.append((w, stem.encode(), s[len(stem) :].encode()))
-                else:
-                    hard.append(w)
-        hard += {t for _, _, t in plain if t and t not in known}
+        known, stems, hard, marked = self.known, set(), [], []
+        new = list(words)
+        for w, s in zip(new, b"\n".join(new).decode("utf-8", "replace").split("\n"), strict=bool(new)):
+            if s.isalpha() and (s.isascii() or s.lower().isalpha()):
+                stems.add(w)
+                continue
+            stem = s.rstrip(self.MARKS)
+            if len(stem) < len(s) and stem.isalpha() and stem.lower().isalpha():
+                marked.append((w, stem.encode(), s[len(stem) :].encode()))
+            else:
+                hard.append(w)
+        hard = list({*hard, *(t for _, _, t in marked)}.difference(known))
         known.update(zip(hard, self._ids([w.decode("utf-8", "replace") for w in hard]), strict=True))
-        stems = list({x for _, x, _ in plain if x not in known})
-        for a in range(0, len(stems), 1000):  # a word of letters ends with the only id that has an end mark
-            own = stems[a : a + 1000]
+        stems.update(x for _, x, _ in marked if x not in known)
+        plain = list(stems)
+        for a in range(0, len(plain), 1000):  # a word of letters ends with the only id that has an end mark
+            own = plain[a : a + 1000]
             raw = self._ids([b" ".join(own).decode()])[0]
             stops = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1).tolist()
             known.update(zip(own, (raw[4 * i : 4 * j] for i, j in zip([0, *stops], stops)), strict=True))
-        for w, x, t in plain:
-            if t:
-                known[w] = known[x] + known[t]
+        for w, x, t in marked:
+            known[w] = known[x] + known[t]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text. Texts with new words wait until the words of all of them are learned at once."""
+        """The ids of each text. New words are learned for a thousand texts at once."""
         done: list[bytes] = []
-        waiting: list[int] = []
-        words = lambda raw: (raw if self.added_head is not None and self.added_head in raw else raw.lower()).split()  # noqa: E731  bytes: A-Z, ASCII white space
-        for i, raw in enumerate(texts):
-            try:
-                done.append(b"".join(map(self.known.__getitem__, words(raw))))
-            except KeyError:
-                done.append(b"")
-                waiting.append(i)
-        for at in range(0, len(waiting), 2000):
-            own = waiting[at : at + 2000]
-            self._learn(set().union(*(words(texts[i]) for i in own)))
-            for i in own:
-                done[i] = b"".join(map(self.known.__getitem__, words(texts[i])))
+        for at in range(0, len(texts), 1000):
+            split = [(t if self.added_head is not None and self.added_head in t else t.lower()).split() for t in texts[at : at + 1000]]  # bytes: A-Z, ASCII white space
+            if len(self.known) > CACHED:
+                self.known = dict(islice(self.known.items(), CACHED // 4))
+            self._learn(set().union(*split).difference(self.known))
+            look = self.known.__getitem__
+            done += [b"".join(map(look, words)) for words in split]
         return done
 
 
