@@ -1 +1 @@
-"""A document analytics engine on PySpark."""
+"""A document analytics engine on PySpark: extraction, classification, search, intents, checklists, photos, ingest."""

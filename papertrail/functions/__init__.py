@@ -1 +1 @@
-"""A document analytics engine on PySpark."""
+"""Column functions: text, identifiers, vectors, geography."""

@@ -1 +1 @@
-"""A document analytics engine on PySpark."""
+"""Operators over collections of documents, as DataFrame transformations."""

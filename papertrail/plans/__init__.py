@@ -1 +1 @@
-"""A document analytics engine on PySpark."""
+"""Queries over the fixture tables, and the SQL that they are held against."""

@@ -1 +1 @@
-"""A document analytics engine on PySpark."""
+"""Readers and writers of the engine's tables and dictionaries."""

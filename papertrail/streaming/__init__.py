@@ -1 +1 @@
-"""A document analytics engine on PySpark."""
+"""Incremental ingest with durable per-item state."""
