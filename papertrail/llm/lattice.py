@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from papertrail.llm.common import stored, utf8, word_blocks
 from papertrail.llm.tokens import vocabulary_path
 
-#: Counted words go to the executors with their counts if they are among so many most frequent; all others by a join.
-FREQUENT = 1 << 16
-#: Words that a task counts before it hands its counts on.
+#: Counted words go to the executors with their counts if they are among so many most frequent (or fewer); all others by a join.
+FREQUENT = 1 << 17
+#: Words that a task gathers: before it hands its counts on, and to handle side by side.
 HELD = 300_000
 #: Expectation-maximisation steps over the corpus, from the vocabulary's own weights.
 STEPS = 2
@@ -183,11 +183,14 @@ def fit_pieces(counts: DataFrame, pieces: list[bytes], logp: np.ndarray, steps:
 
         def expected(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, p = sent.value
-            model, total = Pieces(names), None
+            model, total, held = Pieces(names), np.zeros(len(p)), []
             for b in batches:
-                own = model.expected(b.column(0).to_pylist(), p)
-                total = own if total is None else total + own
-            if total is not None:
+                held += b.column(0).to_pylist()
+                if len(held) >= HELD:
+                    total += model.expected(held, p)
+                    held = []
+            total += model.expected(held, p)
+            if total.any():
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["piece", "n"])
 
@@ -199,6 +202,18 @@ def fit_pieces(counts: DataFrame, pieces: list[bytes], logp: np.ndarray, steps:
     return logp
 
 
+def _least_frequent(counts: DataFrame) -> int:
+    """A count that at most FREQUENT words reach, from a histogram of counts in eighths of powers of two: a few hundred rows."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    taken, least = 0, 1 << 62
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        taken += r["words"]
+        if taken > FREQUENT:
+            break
+        least = r["least"]
+    return least
+
+
 def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """One row for every row of docs: id, n_tokens, n_known, train_tokens, base_score, score; scores are log10.
 
@@ -211,7 +226,7 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
     log space. No piece crosses the blank in front of a word, so a text's marginal probability is the product of its
     words' and its end's.
 
-    Counts of the 65,536 most frequent words go to every task; each other word of a text is joined with its count: hot
+    Counts of the most frequent words, at most 131,072, go to every task; each other word of a text is joined with its count: hot
     words are never a join key. Tasks hold a batch of texts, the pieces and their counts. Null and empty texts have one
     token, the end. Nothing learned: every count is 0. Repeated rows are scored each; a null id stays null; other columns
     are not read, whatever their names; an empty table gives no rows.
@@ -226,7 +241,7 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
     pieces, logp = vocabulary_pieces(path)
     if total:
         logp = fit_pieces(counts, pieces, logp)
-    frequent = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    frequent = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= _least_frequent(counts)).collect()}
     sent = spark.sparkContext.broadcast((pieces, logp, frequent))
     base_all = np.log10(total + distinct + 1)
     words_share = total + distinct
@@ -246,8 +261,8 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
         end_base = float(base_of(np.float64(ends)))
         end_score = float(np.log10(ends / words_share)) if ends else -base_all
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
+            for a in range(0, b.num_rows, 4000):
+                part = b.slice(a, 4000)
                 n, known, base, full, rare = [], [], [], [], []
                 for raw in part.column(1).to_pylist():
                     tokens, k, x, y, own = 1, int(ends > 0), end_base, end_score, Counter()
