@@ -18,7 +18,7 @@ from papertrail.operators import photos as photo_ops
 from papertrail.plans import adapters as a
 from papertrail.plans.sql import ORACLES
 from papertrail.sources import readers
-from papertrail.storage import shared_dir
+from papertrail.storage import shared_dir, stored
 from papertrail.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,7 +413,7 @@ def _queries(spark, sf):
 
 def _index(spark, sf):
     docs = a.vault(spark, sf).select(F.col("id").alias("chunk_id"), F.col("id").alias("doc_id"), "ocr_text", "display_title")
-    return search.postings(docs, text=F.col("ocr_text"), title=F.col("display_title"))
+    return stored(search.postings(docs, text=F.col("ocr_text"), title=F.col("display_title")), "postings")
 
 
 @query
@@ -455,9 +455,9 @@ def rrf_fusion(spark, sf):
 def hybrid_search(spark, sf):
     """Keyword, vector and type rankings, fused and filtered: the six best documents for every benchmark passage."""
     q = _queries(spark, sf)
-    keyword = search.bm25(_index(spark, sf), search.terms_of(q, text=F.col("text")), k=50)
+    keyword = stored(search.bm25(_index(spark, sf), search.terms_of(q, text=F.col("text")), k=50), "keyword")
     vec = a.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(q.select("query_id"), "query_id", "left_semi")
-    meaning = search.vector_search(a.vectors(spark, sf), vec, k=50)
+    meaning = stored(search.vector_search(a.vectors(spark, sf), vec, k=50), "meaning")
     asked = q.filter("query_id % 4 = 1").select("query_id", F.element_at(F.lit(dims.NAMES), (F.col("query_id") % 27 + 1).cast("int")).alias("doc_type"))
     docs = a.vault(spark, sf).select("id", "effective_type", "effective_date", "owner_name")
     typed = search.by_type(docs, asked)

@@ -146,3 +146,27 @@ def test_answers(spark):
     assert (say(kept), say(dropped)) == ([1], [9])
     counts = F.array(F.struct(F.lit("PAN").alias("doc_type"), F.lit(2).alias("n")))
     assert say(answers.overview(F.lit(3), counts, types("TICKET"))) == "You have 3 documents: PAN card 2. Left out: Ticket."
+
+
+def test_routes(spark):
+    from papertrail.operators import router
+
+    said = [("photos from ongole", True), ("wrong one", True), ("share it", True), ("show my pan", True), ("show my pan", False), ("is my passport valid", False), ("hi", True), ("home loan documents ready", False), ("another one", True)]
+    df = intents.parse(spark.createDataFrame([(i, q, c) for i, (q, c) in enumerate(said)], "n long, text string, context boolean"), Lexicon(), TODAY)
+    shown = F.array(F.struct(F.lit("PAN").alias("doc_type"), F.lit("a").alias("owner_name")))
+    df = df.withColumns({"place": router.place_named(F.col("text"), ["Ongole"]), "shown": F.when(F.col("context"), shown), "context_types": F.when(F.col("context"), F.array(F.lit("PAN")))})
+    got = [(r["branch"], r["exclude_shown"], r["limit"]) for r in router.route(df).orderBy("n").collect()]
+    assert got == [("photos", False, 60), ("find", True, 6), ("follow_up_show", False, 6), ("find", True, 6), ("find", False, 6), ("find", False, 6), ("chat", False, 6), ("pack", False, 6), ("follow_up_again", True, 6)]
+
+
+def test_history(spark):
+    from papertrail.operators import history
+
+    turns = [(1, i, f"q{i}", "find", "t", [i, 99], [i], None, ["PAN"]) for i in range(60)] + [(2, 100, "q", "chat", "t", None, None, None, None)]
+    df = spark.createDataFrame(turns, "chat_id long, at long, query string, kind string, text string, doc_ids array<long>, cited_ids array<long>, template_id string, doc_types array<string>")
+    kept = history.saved(df)
+    assert [r["chat_id"] for r in kept.orderBy(F.desc("updated_at")).collect()] == [2, 1]
+    back = history.restored(kept, spark.range(55).toDF("id")).orderBy("chat_id", "turn").collect()
+    assert len(back) == 51 and back[0]["query"] == "q10" and back[0]["doc_ids"] == [10] and back[49]["doc_ids"] == [] and back[50]["doc_ids"] == []
+    masked = spark.range(1).select(history.fully_masked(F.array(F.lit("1"), F.lit("2")), F.array(F.lit("2"))).alias("x")).first()["x"]
+    assert masked is False
