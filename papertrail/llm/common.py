@@ -2,52 +2,47 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papertrail.storage import forget, shared_dir, stored
+
+__all__ = ["fold_case", "forget", "membership", "over_arrow", "partitions", "shared_dir", "stored", "utf8", "with_suspects", "without", "word_blocks"]
+
 #: A membership table has at most 2**20 rows of 64 bits, whatever the input: so it may always be broadcast.
 WORD_BITS = 20
 
-_stored: list[str] = []
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where Spark runs in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="papertrail-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
 
+#: Rows of an Arrow batch that a task turns into Python objects at once.
+SLICE = 2000
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read again: later reads don't depend on executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/papertrail-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def over_arrow(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow: it gets batches of at most 2,000 rows, and when it ends the worker gives its free memory back.
 
-def forget(spark: SparkSession) -> None:
-    """Delete what stored() has written in this session; call it when no result still reads it."""
-    while _stored:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Workers live on between tasks, beside an executor's other processes; without that each keeps the most it ever had.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return run
 
 
 def utf8(text: str | Column) -> Column:

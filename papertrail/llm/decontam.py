@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import utf8, word_blocks
+from papertrail.llm.common import over_arrow, utf8, word_blocks
 
 #: Items that one pass over the documents carries to the executors, and the bytes of their texts at most.
 BLOCK_ITEMS, BLOCK_BYTES = 50_000, 64 << 20
@@ -22,7 +22,7 @@ _FILTER = 22
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h
@@ -155,7 +155,7 @@ def contained_items(
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_type = to_arrow_type(items.schema[item_id].dataType)
-        part = rows.mapInArrow(found, schema)
+        part = rows.mapInArrow(over_arrow(found), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -175,5 +175,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "tex
                 keep = [t is None or not index.search(t.encode()) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(over_arrow(clean), docs.schema)
     return docs

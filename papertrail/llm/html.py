@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papertrail.llm.common import over_arrow
+
 # Element names of the HTML standard, and words by which pages name what isn't their article.
 #: Elements whose whole content is not text of the page.
 OPAQUE = frozenset("script style noscript template svg math canvas iframe object embed applet audio video map select textarea button datalist head title".split())
@@ -185,5 +187,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = rows.dtypes
-    out = rows.mapInArrow(extracted, f"id {kinds[0][1]}, url {kinds[1][1]}, text string, n_chars long")
+    out = rows.mapInArrow(over_arrow(extracted), f"id {kinds[0][1]}, url {kinds[1][1]}, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import stored, utf8, word_blocks
+from papertrail.llm.common import over_arrow, stored, utf8, word_blocks
 from papertrail.llm.tokens import vocabulary_path
 
 #: Counted words go to the executors with their counts if they are among so many most frequent (or fewer); all others by a join.
@@ -43,7 +43,7 @@ def word_counts(docs: DataFrame, *, text_col: str) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(utf8(text_col).alias("text")).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(utf8(text_col).alias("text")).mapInArrow(over_arrow(counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Pieces:
@@ -57,9 +57,7 @@ class Pieces:
     def __init__(self, pieces: list[bytes]) -> None:
         self.pieces = list(dict.fromkeys([bytes([i]) for i in range(256)] + pieces))
         self.longest = max(map(len, self.pieces))
-        self.powers = np.ones(self.longest + 1, np.uint64)
-        for i in range(1, self.longest + 1):
-            self.powers[i] = self.powers[i - 1] * _BASE
+        self.powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         keys = np.array([self._key(p) for p in self.pieces], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[order], order.astype(np.int32)
@@ -194,7 +192,7 @@ def fit_pieces(counts: DataFrame, pieces: list[bytes], logp: np.ndarray, steps:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["piece", "n"])
 
-        rows = counts.select("word").mapInArrow(expected, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        rows = counts.select("word").mapInArrow(over_arrow(expected), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         n = np.full(len(logp), 1e-3)
         for r in rows:
             n[r["piece"]] += r["n"]
@@ -261,36 +259,34 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
         end_base = float(base_of(np.float64(ends)))
         end_score = float(np.log10(ends / words_share)) if ends else -base_all
         for b in batches:
-            for a in range(0, b.num_rows, 4000):
-                part = b.slice(a, 4000)
-                n, known, base, full, rare = [], [], [], [], []
-                for raw in part.column(1).to_pylist():
-                    tokens, k, x, y, own = 1, int(ends > 0), end_base, end_score, Counter()
-                    for words in word_blocks(raw):
-                        tokens += len(words)
-                        for w, c in Counter(words).items():
-                            s = own_base.get(w)
-                            if s is None:
-                                own[w] += c
-                            else:
-                                x, y, k = x + c * s, y + c * own_score[w], k + c
-                    n.append(tokens)
-                    known.append(k)
-                    base.append(x)
-                    full.append(y)
-                    rare.append(own)
-                distinct_rare = list(set().union(*rare))
-                at = dict(zip(distinct_rare, (lattice.forward(distinct_rare, p) / np.log(10)).tolist(), strict=True)) if distinct_rare else {}
-                sizes = [len(o) for o in rare]
-                flat = [(w, c, at[w]) for o in rare for w, c in o.items()]
-                w, c, s = zip(*flat, strict=True) if flat else ((), (), ())
-                struct = pa.StructArray.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.int32()), pa.array(s, pa.float64())], names=["word", "c", "q"])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), pa.ListArray.from_arrays(offsets, struct)], names=["id", "n_tokens", "k", "base", "full", "rare"])
+            n, known, base, full, rare = [], [], [], [], []
+            for raw in b.column(1).to_pylist():
+                tokens, k, x, y, own = 1, int(ends > 0), end_base, end_score, Counter()
+                for words in word_blocks(raw):
+                    tokens += len(words)
+                    for w, c in Counter(words).items():
+                        s = own_base.get(w)
+                        if s is None:
+                            own[w] += c
+                        else:
+                            x, y, k = x + c * s, y + c * own_score[w], k + c
+                n.append(tokens)
+                known.append(k)
+                base.append(x)
+                full.append(y)
+                rare.append(own)
+            distinct_rare = list(set().union(*rare))
+            at = dict(zip(distinct_rare, (lattice.forward(distinct_rare, p) / np.log(10)).tolist(), strict=True)) if distinct_rare else {}
+            sizes = [len(o) for o in rare]
+            flat = [(w, c, at[w]) for o in rare for w, c in o.items()]
+            w, c, s = zip(*flat, strict=True) if flat else ((), (), ())
+            struct = pa.StructArray.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.int32()), pa.array(s, pa.float64())], names=["word", "c", "q"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), pa.ListArray.from_arrays(offsets, struct)], names=["id", "n_tokens", "k", "base", "full", "rare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    rows = rows.mapInArrow(scored, f"id {kind}, n_tokens long, k long, base double, full double, rare array<struct<word:binary,c:int,q:double>>")
+    rows = rows.mapInArrow(over_arrow(scored), f"id {kind}, n_tokens long, k long, base double, full double, rare array<struct<word:binary,c:int,q:double>>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.c", "x.q").join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))

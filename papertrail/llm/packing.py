@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import utf8
+from papertrail.llm.common import over_arrow, utf8
 from papertrail.llm.tokens import vocabulary_path, word_encoder
 
 #: A block that is packed on its own holds so many documents at most, and closes at so many ids.
@@ -165,5 +165,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else [])
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    out = rows.mapInArrow(packed, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+    out = rows.mapInArrow(over_arrow(packed), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papertrail.llm.common import over_arrow
 from papertrail.llm.tokens import piece_counter, vocabulary_path
 
 
@@ -30,5 +31,5 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(counted, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(over_arrow(counted), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

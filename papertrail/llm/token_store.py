@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertrail.llm import dac
-from papertrail.llm.common import partitions, shared_dir, utf8
+from papertrail.llm.common import over_arrow, partitions, shared_dir, utf8
 from papertrail.llm.tokens import vocabulary_path, word_encoder
 
 #: A file closes after the document with which it reaches so many ids.
@@ -57,7 +57,7 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     rows = rows.select(F.spark_partition_id().alias("shard"), "id", "text")
-    rows.mapInArrow(files, "shard int, block int, first long, ids array<bigint>, lengths array<bigint>, codes binary").write.parquet(path)
+    rows.mapInArrow(over_arrow(files), "shard int, block int, first long, ids array<bigint>, lengths array<bigint>, codes binary").write.parquet(path)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +94,7 @@ def read_tokens(spark: SparkSession, path: str, *, id_col: str = "doc_id", with_
 
     names = ["id", "start", "n_tokens", "ids_crc32"] + (["token_ids"] if with_ids else [])
     schema = "id long, start long, n_tokens long, ids_crc32 long" + (", token_ids array<bigint>" if with_ids else "")
-    return token_index(spark, path).select("start", "ids", "lengths", "codes").mapInArrow(rows, schema).withColumnRenamed("id", id_col)
+    return token_index(spark, path).select("start", "ids", "lengths", "codes").mapInArrow(over_arrow(rows), schema).withColumnRenamed("id", id_col)
 
 
 def token_files(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 2) -> DataFrame:
