@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import membership, partitions, stored, utf8, with_suspects, without, word_blocks
+from papertrail.llm.common import membership, over_arrow, partitions, stored, utf8, with_suspects, without, word_blocks
 from papertrail.llm.components import components
 from papertrail.llm.decontam import shingle_hashes
 
@@ -69,7 +69,7 @@ def fingerprint_table(docs: DataFrame, *, id_col: str, text_col: str, width: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "h", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("h"), utf8(text_col).alias("text"))
-    return rows.mapInArrow(made, f"id {kind}, h long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(over_arrow(made), f"id {kind}, h long, " + ", ".join(f"{n} long" for n in names))
 
 
 def segments(bits: int, shift: int, radius: int, m: int) -> list[tuple[int, int, int]]:
@@ -167,6 +167,9 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
     """
 
     def near(own: np.ndarray, fps: np.ndarray) -> tuple[list[int], list[int]]:
+        """Links to the smallest node that each reaches: the same ones from many keys, which are then one."""
+        order = np.argsort(own, kind="stable")
+        own, fps = own[order], fps[order]
         a, b, n = [], [], len(own)
         if n <= 512:
             d = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(2, dtype=np.int64) <= radius
@@ -182,12 +185,12 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
             return own[label[at]].tolist(), own[at].tolist()
         left = np.arange(n)
         while len(left):
-            todo, left = [int(left[0])], left[1:]
+            top, todo, left = int(own[left[0]]), [int(left[0])], left[1:]
             while todo and len(left):
                 x = todo.pop()
                 hit = np.bitwise_count(fps[left] ^ fps[x]).sum(1, dtype=np.int64) <= radius
                 for y in left[hit].tolist():
-                    a.append(int(own[x]))
+                    a.append(top)
                     b.append(int(own[y]))
                     todo.append(y)
                 left = left[~hit]
@@ -234,6 +237,9 @@ def _clustered(batches: Iterator[pa.RecordBatch], width: int, least: float) -> I
             own = set()
             for words in word_blocks(raw, width - 1):
                 own.update(shingle_hashes(words, min(width, max(1, len(words)))).tolist())
+            if not own:
+                led.append(False)
+                continue
             shared = np.zeros(len(sizes), np.int64)
             for x in own:
                 for i in index.get(x, ()):
@@ -291,7 +297,7 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         dealt = alive.join(sizes, "group").select("group", F.pmod(F.xxhash64("id", "h", F.lit(turn)), blocks).alias("block"), "id", "h", "text", "n")
         ordered = dealt.drop("n").repartition(partitions(spark), "group", "block").sortWithinPartitions("group", "block", "id", "h")
         kind = docs.schema[id_col].dataType.simpleString()
-        judged = stored(ordered.mapInArrow(lambda batches: _clustered(batches, width, least), f"group long, id {kind}, h long, led boolean"), "judged")
+        judged = stored(ordered.mapInArrow(over_arrow(lambda batches: _clustered(batches, width, least)), f"group long, id {kind}, h long, led boolean"), "judged")
         led = judged.filter("led").select("id", "h")
         gone = led if gone is None else gone.unionByName(led)
         large = sizes.filter(F.col("n") > GROUP_BLOCK).select("group")
