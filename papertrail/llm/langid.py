@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papertrail.llm.common import over_arrow
+
 #: The labelled sample: so many documents of each language at most, so many characters of each document, and so many
 #: characters of each language; of all languages together not more than the last.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS, ALL_CHARS = 200, 600, 40_000, 640_000
@@ -73,13 +75,12 @@ class CrossParser:
             own = SuffixAutomaton(self.encode(references[lang]).tolist(), width).to.copy()
             own[:, 0] = 0  # unknown characters match nothing
             own[own > 0] += at
-            own[0] = own[1]  # an ended phrase begins anew at the root ...
             tables.append(own)
             roots.append(at + 1)
             at += len(own)
         self.to, self.width = np.concatenate(tables).ravel(), width
         self.roots = np.array(roots, np.int32)
-        self.first = self.to.reshape(-1, width)[self.roots]  # ... with the character that ended it
+        self.first = self.to.reshape(-1, width)[self.roots]  # a phrase begins with the character that ended the last one
         self.log_size = np.array([np.log2(max(2, len(references[lang]))) for lang in self.languages])
 
     def encode(self, text: str) -> np.ndarray:
@@ -102,13 +103,13 @@ class CrossParser:
             live = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")  # lanes that have a t-th character
             for k in range(len(self.languages)):
                 root, first = int(self.roots[k]), self.first[k]
-                state, count = np.full(len(own), root, np.int32), np.ones(len(own), np.int32)
+                state, count = np.full(len(own), root, np.int32), np.zeros(len(own), np.int32)
                 for t in range(int(n[0])):
                     w = live[t]
                     c, s = grid[t, :w], state[:w]
                     to = self.to[s * np.int64(self.width) + c]
                     cut = to == 0
-                    count[:w] += cut
+                    count[:w] += cut | (s == root)  # at the root a phrase has ended, or none has begun
                     state[:w] = np.where(cut, np.where(first[c] > 0, first[c], root), to)
                 np.add.at(out[:, k], owner[own], count)
         return out
@@ -163,15 +164,13 @@ def identify(docs: DataFrame, references: dict[str, str], *, text_col: str = "te
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CrossParser(sent.value)
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
-                langs, scores = parser.predict(part.column(at).to_pylist())
-                if keep:
-                    yield part.filter(pa.array([x != "und" for x in langs], pa.bool_()))
-                else:
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+            langs, scores = parser.predict(b.column(at).to_pylist())
+            if keep:
+                yield b.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = docs.schema if keep else StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(judged, schema)
+    return docs.mapInArrow(over_arrow(judged), schema)
