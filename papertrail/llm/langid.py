@@ -78,7 +78,7 @@ class CrossParser:
             tables.append(own)
             roots.append(at + 1)
             at += len(own)
-        self.to, self.width = np.concatenate(tables).ravel(), width
+        self.to, self.width = np.concatenate(tables or [np.zeros((2, width), np.int32)]).ravel(), width
         self.roots = np.array(roots, np.int32)
         self.first = self.to.reshape(-1, width)[self.roots]  # a phrase begins with the character that ended the last one
         self.log_size = np.array([np.log2(max(2, len(references[lang]))) for lang in self.languages])
@@ -117,12 +117,14 @@ class CrossParser:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language with the fewest normalised phrases, and a score: 1/2 if the next one needs as few, 1 if far more."""
         full = [t or "" for t in texts]
+        if not self.languages:
+            return ["und"] * len(full), [0.0] * len(full)
         n = self.phrases(full)
         size = np.array([max(1, len(t)) for t in full])[:, None]
         rate = n * self.log_size / size  # bits per character: an estimate of the cross entropy
         langs, scores = [], []
         for t, r in zip(full, rate, strict=True):
-            if not self.languages or not _LETTER.search(t):
+            if not _LETTER.search(t):
                 langs.append("und")
                 scores.append(0.0)
                 continue
@@ -151,7 +153,8 @@ def labelled_sample(docs: DataFrame, learn_from: Column, *, text_col: str, lang_
 
 
 def identify(docs: DataFrame, references: dict[str, str], *, text_col: str = "text", keep: bool = False) -> DataFrame:
-    """docs' columns and lang_pred, score (with keep: docs' own columns only, of rows whose language isn't `und`).
+    """docs' columns and lang_pred, score (with keep: docs' own columns only, of rows whose language isn't `und`; where
+    nothing was learned, of rows with a letter).
 
     One pass, no shuffle: the reference texts (at most 640,000 characters) are broadcast and each Python worker builds
     their automata. Whole texts are parsed, in windows of 1,024 characters; a window's end ends a phrase in every
@@ -164,9 +167,11 @@ def identify(docs: DataFrame, references: dict[str, str], *, text_col: str = "te
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CrossParser(sent.value)
         for b in batches:
-            langs, scores = parser.predict(b.column(at).to_pylist())
+            texts = b.column(at).to_pylist()
+            langs, scores = parser.predict(texts)
             if keep:
-                yield b.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+                known = [x != "und" or (not parser.languages and bool(_LETTER.search(t or ""))) for x, t in zip(langs, texts, strict=True)]
+                yield b.filter(pa.array(known, pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
