@@ -18,7 +18,7 @@ from papertrail.operators import photos as photo_ops
 from papertrail.plans import adapters as a
 from papertrail.plans.sql import ORACLES
 from papertrail.sources import readers
-from papertrail.storage import shared_dir, stored
+from papertrail.storage import shared_dir, spread, stored
 from papertrail.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,7 +413,7 @@ def _queries(spark, sf):
 
 def _index(spark, sf):
     docs = a.vault(spark, sf).select(F.col("id").alias("chunk_id"), F.col("id").alias("doc_id"), "ocr_text", "display_title")
-    return stored(search.postings(docs, text=F.col("ocr_text"), title=F.col("display_title")), "postings")
+    return stored(search.postings(spread(docs), text=F.col("ocr_text"), title=F.col("display_title")), "postings")
 
 
 @query
@@ -483,12 +483,12 @@ def language_hint_score(spark, sf):
 
 @query
 def keyword_scores(spark, sf):
-    return classify.score_table(a.vault(spark, sf), text=F.col("ocr_text"))
+    return classify.score_table(spread(a.vault(spark, sf).select("id", "ocr_text")), text=F.col("ocr_text"))
 
 
 @query
 def classify_docs(spark, sf):
-    d = a.vault(spark, sf).select("id", "ocr_text", F.array().cast("array<string>").alias("kinds"))
+    d = spread(a.vault(spark, sf).select("id", "ocr_text")).select("id", "ocr_text", F.array().cast("array<string>").alias("kinds"))
     c = classify.classify(d, text=F.col("ocr_text"), kinds=F.col("kinds"))
     return c.select("id", "doc_type", F.round("doc_type_confidence", 6).alias("confidence"), "needs_model")
 
@@ -601,7 +601,7 @@ def reminders(spark, sf):
 # ---- messages
 
 def _turns(spark, sf):
-    return a.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    return spread(a.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text"))
 
 
 @query

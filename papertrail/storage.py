@@ -39,3 +39,9 @@ def forget(spark: SparkSession) -> None:
     while _stored:
         path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer partitions than that, as a file of one row group has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
