@@ -38,18 +38,24 @@ def _more(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(raw: bytes, width: int = 3, parts: int = 1) -> list[int]:
+def fingerprints(raw: bytes, width: int = 3, parts: int = 1, distinct: bool = False) -> list[int]:
     """The SimHash of a text in `parts` words of 64 bits.
 
-    Shingles are runs of `width` words, repeats included (fewer words: the whole sequence; none: all bits zero), hashed
-    with XXH64 (seed 42); a bit is 1 if it is set in over half of the hashes. Further parts come from a mix of the hash.
+    Shingles are runs of `width` words, repeats included or, with `distinct`, each counted once (fewer words: the whole
+    sequence; none: all bits zero), hashed with XXH64 (seed 42); a bit is 1 if it is set in over half of the hashes.
+    Further parts come from a mix of the hash.
     """
-    n, sums = 0, np.zeros((parts, 64), np.int64)
+    n, sums, seen = 0, np.zeros((parts, 64), np.int64), np.zeros(0, np.uint64)
     for words in word_blocks(raw, width - 1):
         if not words:
             continue
         runs = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
         h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in runs), np.uint64)
+        if distinct:
+            h = np.unique(h)
+            if len(raw) > 1 << 20:  # a text of several blocks
+                h = np.setdiff1d(h, seen, assume_unique=True)
+                seen = np.union1d(seen, h)
         n += len(h)
         for k in range(parts):
             h = h if k == 0 else _more(h)
@@ -57,14 +63,14 @@ def fingerprints(raw: bytes, width: int = 3, parts: int = 1) -> list[int]:
     return [int(np.packbits(s * 2 > n, bitorder="little").view("<i8")[0]) for s in sums]
 
 
-def fingerprint_table(docs: DataFrame, *, id_col: str, text_col: str, width: int, parts: int = 1) -> DataFrame:
+def fingerprint_table(docs: DataFrame, *, id_col: str, text_col: str, width: int, parts: int = 1, distinct: bool = False) -> DataFrame:
     """(id, h, fp0, fp1, ...): h is a hash of the text, so that (id, h) tells rows apart that share an id."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [f"fp{k}" for k in range(parts)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprints(raw, width, parts) for raw in b.column(2).to_pylist()]
+            found = [fingerprints(raw, width, parts, distinct) for raw in b.column(2).to_pylist()]
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(parts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "h", *names])
 
@@ -258,7 +264,8 @@ def _clustered(batches: Iterator[pa.RecordBatch], width: int, least: float) -> I
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 26, m: int = 4, size: int = 16) -> DataFrame:
     """docs with one row of each group of near duplicates, all columns as they were.
 
-    Candidates: SimHash fingerprints of 128 bits over shingles of `width` words. Each fingerprint is filed under every
+    Candidates: SimHash fingerprints of 128 bits over the distinct shingles of `width` words, since similarity is that of
+    sets: a passage counts once however often it is repeated. Each fingerprint is filed under every
     value in the Hamming ball of radius 1 around each of m segments of `size` bits, so that two fingerprints meet if
     some segment of theirs differs in two bits at most; complete distances are verified (`radius`), and links leave a
     bucket as a spanning set. At a similarity of 0.8 the expected distance is 19.4 bits, so that radius 26 takes in 95 %
@@ -271,7 +278,7 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     other columns. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = stored(fingerprint_table(docs, id_col=id_col, text_col=text_col, width=width, parts=2), "wide")
+    rows = stored(fingerprint_table(docs, id_col=id_col, text_col=text_col, width=width, parts=2, distinct=True), "wide")
     nodes = stored(rows.groupBy("fp0", "fp1").agg(F.count("*").alias("n")).withColumn("node", F.xxhash64("fp0", "fp1")), "nodes")
     masks = ball(size, 1)
     per_word = 64 // size

@@ -90,6 +90,17 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert len(missed) <= 0.05 * len(copies)
 
 
+def test_passages_repeated_unequally(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(20):  # one passage of 60 words once and twelve times: nearly equal sets
+        words = [f"w{i}_{x}" for x in rng.integers(0, 5000, 300)]
+        passage = words[100:160]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + 11 * passage))]
+    assert all(jaccard(shingles(a), shingles(b)) >= 0.8 for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    assert simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
+
+
 def test_dropped_rows_resemble_kept_ones(docs):
     rows = {r["doc_id"]: shingles(r["text"]) for r in docs.dropDuplicates(["text"]).collect()}
     left = {r["doc_id"] for r in simhash.drop_near(docs.dropDuplicates(["text"])).collect()}
