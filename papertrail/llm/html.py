@@ -149,26 +149,31 @@ def between_surge_and_dive(lengths: list[int]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, joined by two line feeds.
 
-    Lines that markup puts outside an article (menus, headers, footers, sidebars, notices, adverts, forms, comments) and
-    lines that are mostly links are as long as a window and empty in the distribution. If the page marks its article,
-    every line with text within it is kept, since short paragraphs are article too; else the lines between surge and
-    dive are. A page without a surge gives its lines outside of boilerplate.
+    Every page goes through the line-block distribution; markup weighs its lines. Lines that markup puts outside an
+    article (menus, headers, footers, sidebars, notices, adverts, forms, comments) and unmarked lines that are mostly
+    links are as long as a window and empty. A line within a marked article weighs a surge at least, since short
+    paragraphs are article too; where marked text begins or ends, the text before it dives, so that a short line beside
+    the article isn't carried along but a body outside of marked teasers surges by itself. A page without a surge gives
+    its lines outside of boilerplate.
     """
     if not page:
         return ""
     lines = page_lines(page)
     inside = [bool(x.text) and not x.outside for x in lines]
-    if any(x.main and k for x, k in zip(lines, inside, strict=True)):
-        keep = [x.main and k for x, k in zip(lines, inside, strict=True)]
-    else:
-        order, lengths = [], []  # of the distribution's lines: blank ones come from markup, not from the page's author
-        for i, x in enumerate(lines):
-            plain = inside[i] and 2 * x.linked <= len(x.text)
-            if plain or x.text:
-                order += [i] if plain else [-1] * WINDOW
-                lengths += [len(x.text)] if plain else [0] * WINDOW
-        marked = {i for i, k in zip(order, between_surge_and_dive(lengths), strict=True) if k}
-        keep = [i in marked if marked else k for i, k in enumerate(inside)]
+    order, lengths = [], []  # of the distribution's lines: blank ones come from markup, not from the page's author
+    main = None
+    for i, x in enumerate(lines):
+        if not x.text:
+            continue
+        if main is not None and main != x.main:
+            order += [-1] * WINDOW
+            lengths += [0] * WINDOW
+        main = x.main
+        plain = inside[i] and (x.main or 2 * x.linked <= len(x.text))
+        order += [i] if plain else [-1] * WINDOW
+        lengths += [max(len(x.text), SURGE) if x.main else len(x.text)] if plain else [0] * WINDOW
+    marked = {i for i, k in zip(order, between_surge_and_dive(lengths), strict=True) if k}
+    keep = [i in marked if marked else k for i, k in enumerate(inside)]
     return "\n\n".join(x.text for x, k in zip(lines, keep, strict=True) if k and x.text)
 
 

@@ -98,6 +98,14 @@ def test_line_block_distribution():
     assert main_text("plain words") == "plain words"
 
 
+def test_distribution_runs_on_marked_pages():
+    long = "This is a sentence of the body which is long enough to make the text surge at this line of the page."
+    teasers = "<article><a href=1>One</a></article><article><a href=2>Two</a></article>"
+    assert main_text(PAGE % f"{teasers}<div><p>{long}</p><p>short</p><p>{long}</p></div>") == f"One\n\nTwo\n\n{long}\n\nshort\n\n{long}"
+    assert main_text(PAGE % f"<p>by me</p><article>{BODY}</article><p>end</p>") == TEXT
+    assert between_surge_and_dive([0, 0, 0, 100, 5, 0, 0, 0, 90, 0]) == [False, True, True, True, True, False, True, True, True, False]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>a</p", "<<>>", "<script>x", "<!-- x", "</p></p>", "<p a='", "&amp", "<article>", "<div><nav>"])
 def test_broken_pages(page):
     assert isinstance(main_text(page), str)
