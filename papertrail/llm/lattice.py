@@ -290,8 +290,11 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.c", "x.q").join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
-    power = F.pow(F.lit(10.0), F.col("q") + F.lit(float(log_rest)))
-    each = F.log10(n / F.lit(float(words_share)) + power) if total else F.col("q")
+    spelled = F.col("q") + F.lit(float(log_rest))
+    whole = F.log10(n / F.lit(float(words_share)))  # null for a word that wasn't learned
+    more, less = F.greatest(whole, spelled), F.least(whole, spelled)
+    # in log space, since the spelling of a long word is less likely than the smallest double
+    each = F.when(n > 0, more + F.log10(F.lit(1.0) + F.pow(F.lit(10.0), less - more))).otherwise(spelled) if total else F.col("q")
     summed = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("c")).otherwise(0)).alias("k2"), F.sum(F.col("c") * (F.log10(n + 1) - F.lit(float(base_all)))).alias("base2"), F.sum(F.col("c") * each).alias("full2"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.drop("rare").join(summed, "row", "left").select(

@@ -79,6 +79,14 @@ def test_scores_of_odd_documents(odd, none):
     assert lattice.score(none, F.lit(True)).count() == 0
 
 
+def test_long_unseen_words_cost_their_spelling(spark):
+    rng = np.random.default_rng(6)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 3000))
+    rows = [(0, "a few words to learn from"), (1, "words"), (2, "words " + long), (3, "words " + long + " " + long[::-1])]
+    got = {r["doc_id"]: r["score"] for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 0).collect()}
+    assert got[2] < got[1] - 1000 and got[3] < got[2] - 1000
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var x="<p>no</p>";</script><style>p{}</style></head><body class="page">
 <nav><a href=/>Home</a><ul><li>menu</ul></nav><header>Site</header><div id="cookie-banner">We use cookies</div>
 %s<aside>related</aside><div class="comments"><p>first!</p></div><form>name <input></form><footer>&copy; foot</footer></body></html>"""
