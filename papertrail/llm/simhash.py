@@ -261,15 +261,16 @@ def _clustered(batches: Iterator[pa.RecordBatch], width: int, least: float) -> I
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(led, pa.bool_())], names=["group", "id", "h", "led"])
 
 
-def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 26, m: int = 4, size: int = 16) -> DataFrame:
+def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 32, m: int = 8, size: int = 16) -> DataFrame:
     """docs with one row of each group of near duplicates, all columns as they were.
 
     Candidates: SimHash fingerprints of 128 bits over the distinct shingles of `width` words, since similarity is that of
     sets: a passage counts once however often it is repeated. Each fingerprint is filed under every
     value in the Hamming ball of radius 1 around each of m segments of `size` bits, so that two fingerprints meet if
     some segment of theirs differs in two bits at most; complete distances are verified (`radius`), and links leave a
-    bucket as a spanning set. At a similarity of 0.8 the expected distance is 19.4 bits, so that radius 26 takes in 95 %
-    of such pairs, and one of the segments meets for 96 %. Verification: within the components of these links, in the
+    bucket as a spanning set. The segments cover both words. At a similarity of 0.8 the expected
+    distance is 19.4 bits, well below the radius; false candidates cost a comparison, since all are judged exactly.
+    Verification: within the components of these links, in the
     order of ids, a row is dropped if its shingle set has a Jaccard similarity of `least` or more with a row that stays.
     Components of over 4,000 rows are dealt into blocks, whose leaders meet in a next round, until that drops no more.
 

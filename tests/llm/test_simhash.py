@@ -101,6 +101,17 @@ def test_passages_repeated_unequally(spark):
     assert simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
 
 
+def test_pairs_just_above_the_limit_are_found(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        words = [f"v{x}" for x in rng.integers(0, 100_000, 200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:179] + [f"v{x}" for x in rng.integers(0, 100_000, 21)]))]
+    true = [k for k in range(200) if jaccard(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])) >= 0.8]
+    left = {r["doc_id"] for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(true) > 190 and sum(2 * k in left and 2 * k + 1 in left for k in true) <= 1
+
+
 def test_dropped_rows_resemble_kept_ones(docs):
     rows = {r["doc_id"]: shingles(r["text"]) for r in docs.dropDuplicates(["text"]).collect()}
     left = {r["doc_id"] for r in simhash.drop_near(docs.dropDuplicates(["text"])).collect()}
