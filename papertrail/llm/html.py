@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,62 +17,102 @@ from papertrail.llm.common import over_arrow
 # Element names of the HTML standard, and words by which pages name what isn't their article.
 #: Elements whose whole content is not text of the page.
 OPAQUE = frozenset("script style noscript template svg math canvas iframe object embed applet audio video map select textarea button datalist head title".split())
+#: Of these, the ones that last to the page's end if nothing closes them.
+TO_THE_END = frozenset("script style textarea title template noscript iframe svg".split())
 #: Elements whose whole content stands outside an article.
 ASIDE = frozenset("nav footer aside form menu dialog header search fieldset".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements within a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that hold text, not a part of the page's layout.
+TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption address".split())
 #: Elements that an unclosed paragraph ends at.
 ENDS_P = frozenset("p div article section h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote address figure main nav footer aside form header hr fieldset".split())
-#: Words in class, id and role values; a value is split at everything but letters, and between small and capital letters.
+#: Elements that end an open one of the same group.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
+#: Words in class and id names for what isn't an article.
 BOILER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner popup modal overlay cookie cookies consent gdpr notice alert disclaimer newsletter subscribe subscription signup login breadcrumb breadcrumbs menu nav navbar navigation toolbar sidebar rail widget related recommended recommendations share sharing social comment comments respond reply replies disqus footer header masthead copyright legal pagination pager skip search".split())
+#: Words behind such a word that only say which part of the layout it is.
+PARTS = frozenset("area areas article articles bar block body bottom box btn button buttons center column container content dialog first form frame group holder icon icons image inner item items last layer left line link links list main media message module outer panel place policy post posts primary region right row secondary section slot small space stories story strip tab text thread title top unit wide wrap wrapper zone".split())
+#: Words in front of such a word that make a name the state of a page.
+STATES = frozenset("has no with without is not show hide js".split())
 #: Roles whose elements stand outside an article.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog toolbar".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+)|(?=\s|/|$))", re.I | re.S)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+# The tokens of the HTML standard: an attribute's value is quoted only if it begins with a quote.
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
+_ATTRIBUTES = rf"(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+|=)*+"
+_MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++)(?:\s*+=\s*+({_VALUE}))?+")
+_TOLD = re.compile("class|id|role|hidden|style", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 #: The window's lines, and the sums at which text surges and dives.
 WINDOW, SURGE, DIVE = 3, 86, 0
+#: A line whose own class says that it is no article counts for so much of its length.
+DOUBT = 0.25
+#: What markup says of an element: nothing, that its text is doubtful, that it stands outside the article.
+FINE, DOUBTFUL, OUTSIDE = 0, 1, 2
 
 
 class Line:
-    """A block of the page: its text, the part of it that is link text, whether markup puts it inside or outside an article."""
+    """A block of the page: its text, the part of it that is link text, whether markup puts it inside an article, and
+    what markup says against it (FINE, DOUBTFUL, OUTSIDE)."""
 
-    __slots__ = ("text", "linked", "main", "outside")
+    __slots__ = ("text", "linked", "main", "said")
 
-    def __init__(self, text: str, linked: int, main: bool, outside: bool) -> None:
-        self.text, self.linked, self.main, self.outside = text, linked, main, outside
+    def __init__(self, text: str, linked: int, main: bool, said: int) -> None:
+        self.text, self.linked, self.main, self.said = text, linked, main, said
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's markup says that it isn't the article's text."""
-    if tag in ASIDE and not (tag == "header" and in_article):
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+def names_boilerplate(name: str, alone: bool = False) -> bool:
+    """Whether one class or id names what isn't an article: its last word does (`post-comments`), or its first does and
+    the others are parts of a layout (`ad-slot`). `share-price` does not, nor does `has-sidebar`; with `alone`, only a
+    name of one word can."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[0] in STATES or (alone and len(words) > 1):
         return False
-    for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    return words[-1] in BOILER or (words[0] in BOILER and all(w in BOILER or w in PARTS for w in words))
+
+
+def judged(tag: str, attributes: str, in_article: bool) -> int:
+    """What an element's own markup says of its text.
+
+    Hidden elements, the standard's elements and roles for other parts of a page, and layout whose class or id names
+    boilerplate stand outside. Such a name on an element that holds text itself makes the text doubtful only.
+    """
+    if tag in ASIDE and not (tag == "header" and in_article):
+        return OUTSIDE
+    if tag in ("html", "body", "main") or not _TOLD.search(attributes):
+        return FINE
+    said = FINE
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'") if value[:1] in ("'", '"') else value
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-        if (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and any(p.lower() in BOILER for p in _PARTS.findall(value))):
-            return True
-    return False
+            return OUTSIDE
+        if name == "role" and value.lower() in ROLES:
+            return OUTSIDE
+        if name in ("class", "id") and any(names_boilerplate(x, tag == "article") for x in value.split()):
+            if tag not in TEXTUAL:
+                return OUTSIDE
+            said = DOUBTFUL
+    return said
 
 
 def page_lines(page: str) -> list[Line]:
-    """Strip markup: one line for each block, in page order; blocks without text are lines too."""
+    """Strip markup: one line for each block, in page order; blocks without text are lines too. Linear in the page."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether outside, whether in the article
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, what is said against it and those around it, whether in the article
+    count: Counter[str] = Counter()  # open elements by name
+    endless: set[str] = set()  # elements that nothing closes from here on
     text: list[str] = []
     linked = links = at = 0
 
     def flush() -> None:
         nonlocal linked
         own = _SPACE.sub(" ", references.unescape("".join(text))).strip()
-        lines.append(Line(own, min(linked, len(own)), bool(stack and stack[-1][2]), bool(stack and stack[-1][1])))
+        lines.append(Line(own, min(linked, len(own)), bool(stack and stack[-1][2]), stack[-1][1] if stack else FINE))
         text.clear()
         linked = 0
 
@@ -80,6 +122,16 @@ def page_lines(page: str) -> list[Line]:
             text.append(piece)
             linked += len(piece.strip()) if links else 0
 
+    def opened(tag: str, attributes: str) -> None:
+        up = stack[-1] if stack else ("", FINE, False)
+        stack.append((tag, max(up[1], judged(tag, attributes, up[2])), up[2] or tag in ("article", "main")))
+        count[tag] += 1
+
+    def popped() -> str:
+        tag = stack.pop()[0]
+        count[tag] -= 1
+        return tag
+
     while at < len(page):
         m = _MARKUP.search(page, at)
         if m is None:
@@ -94,41 +146,53 @@ def page_lines(page: str) -> list[Line]:
         tag, closing = m[3].lower(), bool(m[2])
         if tag in OPAQUE and not closing:
             if tag not in VOID and not m[4].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else (len(page) if tag in ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg") else at)
+                end = None if tag in endless else _end_of(tag).search(page, at)
+                if end is None:
+                    endless.add(tag)
+                at = end.end() if end else (len(page) if tag in TO_THE_END else at)
             continue
         if tag == "a":
             links = 0 if closing else 1
         if tag == "br":
             text.append(" ")
         if tag in INLINE:
-            if not closing and tag not in VOID and _outside(tag, m[4], bool(stack and stack[-1][2])):
+            if tag in VOID:
+                continue
+            if closing and count[tag]:
                 flush()
-                stack.append((tag, True, stack[-1][2] if stack else False))
-            elif closing and stack and stack[-1][0] == tag:
+                while popped() != tag:
+                    pass
+            elif not closing and (count[tag] or judged(tag, m[4], bool(stack and stack[-1][2])) != FINE):
                 flush()
-                stack.pop()
+                opened(tag, m[4])
             continue
         flush()
         if closing:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+            if count[tag]:
+                while popped() != tag:
                     pass
         elif tag not in VOID:
-            while stack and stack[-1][0] == "p" and tag in ENDS_P:
-                stack.pop()
-            up = stack[-1] if stack else ("", False, False)
-            stack.append((tag, up[1] or _outside(tag, m[4], up[2]), up[2] or tag in ("article", "main")))
+            if tag in ENDS_P or tag in SIBLINGS:
+                while stack and stack[-1][0] == "p":
+                    popped()
+            while stack and stack[-1][0] in SIBLINGS.get(tag, ()):
+                popped()
+            opened(tag, m[4])
     flush()
     return lines
 
 
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+
+
 def between_surge_and_dive(lengths: list[int]) -> list[bool]:
     """The line-block distribution: which lines lie between a surge and the next dive.
 
     A line's block is its own and the next WINDOW - 1 lines; the distribution is the sum of their text lengths. Text
     surges where that sum reaches SURGE, and dives where it falls to DIVE. A surge's lines begin with the first line of
-    its block that has text.
+    its block that has a length.
     """
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
@@ -137,50 +201,62 @@ def between_surge_and_dive(lengths: list[int]) -> list[bool]:
         if sums[i] < SURGE:
             i += 1
             continue
-        end = i
-        while end < n and sums[end] > DIVE:
-            end += 1
-        for k in range(i, min(n, end)):
-            keep[k] = True
-        i = end + 1
+        while not lengths[i]:
+            i += 1
+        while i < n and sums[i] > DIVE:
+            keep[i] = True
+            i += 1
     return keep
 
 
+def weight(x: Line) -> int:
+    """A line's length in the distribution: 0 outside the article and for unmarked lines that are mostly links; at least
+    a surge within a marked article, since short paragraphs are article too; doubtful lines must surge by themselves."""
+    if x.said == OUTSIDE or not x.text:
+        return 0
+    if x.said == DOUBTFUL:
+        own = int(len(x.text) * DOUBT)
+        return own if own >= SURGE else 0
+    if x.main:
+        return max(len(x.text), SURGE)
+    return len(x.text) if 2 * x.linked <= len(x.text) else 0
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, joined by two line feeds.
 
-    Every page goes through the line-block distribution; markup weighs its lines. Lines that markup puts outside an
-    article (menus, headers, footers, sidebars, notices, adverts, forms, comments) and unmarked lines that are mostly
-    links are as long as a window and empty. A line within a marked article weighs a surge at least, since short
-    paragraphs are article too; where marked text begins or ends, the text before it dives, so that a short line beside
-    the article isn't carried along but a body outside of marked teasers surges by itself. A page without a surge gives
-    its lines outside of boilerplate.
+    Every page goes through the line-block distribution over its lines with text; markup weighs them (see `weight`). What
+    lies between a surge and a dive is article, but for lines that stand outside of it; a line of links among its lines
+    is article as well, a menu of WINDOW lines is a dive. Where a marked article begins or ends, text dives, so that a
+    short line beside it isn't carried along. If marked text outweighs unmarked text that surges, or is as long, the
+    latter is another part of the page; if not, the marks are of teasers, and both count. A page without a surge gives
+    its lines that nothing is said against.
     """
     if not page:
         return ""
-    lines = page_lines(page)
-    inside = [bool(x.text) and not x.outside for x in lines]
-    order, lengths = [], []  # of the distribution's lines: blank ones come from markup, not from the page's author
-    main = None
+    lines = [x for x in page_lines(page) if x.text]
+    order: list[int] = []  # of the distribution's lines; -1 is a blank one
+    lengths: list[int] = []
     for i, x in enumerate(lines):
-        if not x.text:
-            continue
-        if main is not None and main != x.main:
+        if i and x.main != lines[i - 1].main:
             order += [-1] * WINDOW
             lengths += [0] * WINDOW
-        main = x.main
-        plain = inside[i] and (x.main or 2 * x.linked <= len(x.text))
-        order += [i] if plain else [-1] * WINDOW
-        lengths += [max(len(x.text), SURGE) if x.main else len(x.text)] if plain else [0] * WINDOW
-    marked = {i for i, k in zip(order, between_surge_and_dive(lengths), strict=True) if k}
-    keep = [i in marked if marked else k for i, k in enumerate(inside)]
-    return "\n\n".join(x.text for x, k in zip(lines, keep, strict=True) if k and x.text)
+        order.append(i)
+        lengths.append(weight(x))
+    doubted = [x.said == OUTSIDE or (x.said == DOUBTFUL and not weight(x)) for x in lines]
+    found = [i for i, k in zip(order, between_surge_and_dive(lengths), strict=True) if k and i >= 0 and not doubted[i]]
+    if not found:
+        return "\n\n".join(x.text for x, no in zip(lines, doubted, strict=True) if not no)
+    mass = Counter()
+    for i in found:
+        mass[lines[i].main] += len(lines[i].text)
+    return "\n\n".join(lines[i].text for i in found if lines[i].main or mass[False] > mass[True])
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every row of pages: the whole html in, the article out. One pass, no shuffle.
 
-    Null and empty pages, and pages without an article, give an empty text and 0; broken markup and a page that ends
+    Null and empty pages, and pages without text outside of boilerplate, give an empty text and 0; broken markup and a page that ends
     within a tag are read as far as they go; repeated rows are extracted each; null ids and urls stay null; other
     columns are not read, whatever their names; an empty table gives no rows.
     """
