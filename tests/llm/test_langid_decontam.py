@@ -1,43 +1,113 @@
+import math
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from papertrail.llm import decontam, langid
-from papertrail.llm.queries import op3_language_id
-from tests.llm.conftest import ROWS
+from papertrail.llm.queries import fold, op3_language_id
+from tests.llm.conftest import ROWS, SF
 
 
 def test_automaton_knows_all_substrings_and_no_others():
     text = [1, 2, 1, 1, 2, 3, 1, 2, 1]
-    to = langid.SuffixAutomaton(text, 4).to
+    to = langid.suffix_automaton(text)
     inside = {tuple(text[i:j]) for i in range(9) for j in range(i + 1, 10)}
     todo = [((), 1)]
     seen = set()
     while todo:
         run, s = todo.pop()
-        for c in range(1, 4):
-            if to[s, c]:
-                seen.add((*run, c))
-                todo.append(((*run, c), int(to[s, c])))
+        for c, t in to[s].items():
+            seen.add((*run, c))
+            todo.append(((*run, c), t))
     assert seen == inside
 
 
 def slow_phrases(text, reference):
-    n, i = 0, 0
-    while i < len(text):
-        k = 1
-        while i + k < len(text) and text[i : i + k + 1] in reference and text[i] in reference:
-            k += 1
-        n, i = n + 1, i + k
-    return n
-
-
-def test_phrases_equal_greedy_longest_matches():
-    parser = langid.CrossParser({"a": "the cat sat on the mat", "b": "el gato en la mesa"})
-    for text in ("the mat", "gato en el", "zzz the", "x", "that cat, la mesa zz"):
-        got = parser.phrases([text])[0].tolist()
-        assert got == [slow_phrases(text, "the cat sat on the mat"), slow_phrases(text, "el gato en la mesa")]
+    """(phrases, unknown characters) of the windows of a text, by longest matches; an unknown character is a phrase."""
+    n = unknown = 0
+    text = text.lower()
+    for a in range(0, len(text), langid.WINDOW):
+        part, i = text[a : a + langid.WINDOW], 0
+        while i < len(part):
+            k = 1
+            while i + k < len(part) and part[i : i + k + 1] in reference:
+                k += 1
+            n, unknown, i = n + 1, unknown + (part[i] not in reference), i + k
+    return n, unknown
+
+
+def slow_language(text, references):
+    if not any(c.isalpha() for c in text or ""):
+        return "und"
+    cost = {}
+    for lang, reference in references.items():
+        n, unknown = slow_phrases(text, reference)
+        cost[lang] = (n - unknown) * math.log2(max(2, len(reference))) + unknown * langid.UNKNOWN_BITS
+    return min(cost, key=lambda x: (round(cost[x] / len(text), 9), -len(references[x]), x))
+
+
+SCRIPTS = {
+    "zh": "我们一起学习中文。今天天气很好,他们在公园里散步。中国的首都是北京,上海是最大的城市。这本书是我朋友写的。",
+    "ja": "私たちは一緒に日本語を勉強します。今日は天気がとても良いです。東京は日本の首都です。この本は友達が書きました。",
+    "ko": "우리는 함께 한국어를 공부합니다. 오늘은 날씨가 아주 좋습니다. 서울은 한국의 수도입니다. 이 책은 친구가 썼습니다.",
+    "th": "เราเรียนภาษาไทยด้วยกัน วันนี้อากาศดีมาก กรุงเทพเป็นเมืองหลวงของประเทศไทย หนังสือเล่มนี้เพื่อนของฉันเขียน",
+    "hi": "हम साथ में हिन्दी सीखते हैं। आज मौसम बहुत अच्छा है। दिल्ली भारत की राजधानी है। यह किताब मेरे दोस्त ने लिखी है।",
+    "ru": "Мы вместе учим русский язык. Сегодня очень хорошая погода. Москва столица России. Эту книгу написал мой друг.",
+    "el": "Μαθαίνουμε μαζί ελληνικά. Σήμερα ο καιρός είναι πολύ καλός. Η Αθήνα είναι η πρωτεύουσα της Ελλάδας.",
+    "ar": "نحن نتعلم اللغة العربية معا. الطقس جميل جدا اليوم. القاهرة هي عاصمة مصر. هذا الكتاب كتبه صديقي.",
+    "en": "We learn English together. The weather is very good today. London is the capital of England. My friend wrote this book.",
+    "de": "Wir lernen zusammen Deutsch. Das Wetter ist heute sehr gut. Berlin ist die Hauptstadt von Deutschland. Mein Freund schrieb dieses Buch.",
+}
+
+
+def test_scripts_are_told_apart(monkeypatch):
+    lower = {k: v.lower() for k, v in SCRIPTS.items()}
+    for dense in (63, 3):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        parser = langid.CrossParser(lower)
+        texts = ["我们学习", "日本の本を書きました", "날씨가 좋습니다", "วันนี้อากาศดี", "मौसम अच्छा है", "погода хорошая", "ο καιρός", "الطقس جميل", "the weather", "das Wetter", "½ ² Ⅷ", "", None, "ⴰⴱⴳ"]
+        langs, scores = parser.predict(texts)
+        assert langs[:10] == list(SCRIPTS) and langs[10:13] == ["und"] * 3 and scores[10:13] == [0.0] * 3
+        assert langs == [slow_language(t, lower) for t in texts] and all(0 <= x <= 1 for x in scores)
+    assert langs[13] == max(lower, key=lambda x: (len(lower[x]), x)) and scores[13] == 0.5  # equal everywhere: the longest reference
+
+
+def test_ties():
+    parser = langid.CrossParser({"b": "xyz", "a": "xyz", "c": "xy"})
+    assert parser.predict(["qq", "xyz"])[0] == ["a", "a"]
+
+
+def test_phrases_equal_greedy_longest_matches(monkeypatch):
+    monkeypatch.setattr(langid, "WINDOW", 16)
+    references = {"a": "the cat sat on the mat", "b": "el gato en la mesa ñandú"}
+    texts = ["the mat", "gato en el", "zzz the", "x", "that cat, la mesa zz", "ñandú " * 40, "", "the cat sat on the mat " * 9]
+    for dense in (63, 4, 0):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        n, unknown = langid.CrossParser(references).phrases(texts)
+        assert [list(zip(a, b)) for a, b in zip(n.tolist(), unknown.tolist())] == [[slow_phrases(t, references[x]) for x in "ab"] for t in texts]
+
+
+def test_query_equals_brute_force_on_all_documents(spark, docs):
+    learned = langid.labelled_sample(docs, fold("doc_id", 3) != 1, text_col="text", lang_col="lang")
+    rows = {r["doc_id"]: r["lang_pred"] for r in op3_language_id(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    assert all(rows[d] == slow_language(t, learned) for d, t in texts.items())
+
+
+def test_sample_counts_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 3)
+    df = spark.createDataFrame([(i, "the same text" if i < 50 else f"text {i}", "en") for i in range(55)], "doc_id long, text string, lang string")
+    got = langid.labelled_sample(df, F.lit(True), text_col="text", lang_col="lang")["en"].split("\n")
+    assert len(got) == len(set(got)) == 3
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the cat", 5, "x", True)], "doc_id long, text string, score long, Lang_Pred string, _h boolean")
+    got = langid.identify(df, {"en": "the cat sat"})
+    assert got.columns == ["doc_id", "text", "_h", "lang_pred", "score"] and got.first()["lang_pred"] == "en"
+    assert langid.identify(df, {"en": "the cat sat"}, keep=True).collect() == df.collect()
 
 
 def test_held_out_accuracy(spark):
