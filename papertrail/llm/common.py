@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from papertrail.storage import forget, shared_dir, stored
 
-__all__ = ["fold_case", "forget", "membership", "over_arrow", "partitions", "shared_dir", "stored", "utf8", "with_suspects", "without", "word_blocks"]
+__all__ = ["fold_case", "forget", "join_groups", "membership", "over_arrow", "partitions", "shared_dir", "stored", "utf8", "whole_row", "with_suspects", "without", "word_blocks"]
 
-#: A membership table has at most 2**20 rows of 64 bits, whatever the input: so it may always be broadcast.
+#: A membership table has at most 2**20 rows of 64 bits, whatever the input: so it may always be broadcast. Of more hashes
+#: than half of its bits it could no longer tell enough, and none is made.
 WORD_BITS = 20
+MOST_MEMBERS = 1 << (WORD_BITS + 5)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -83,15 +85,21 @@ def _slot(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << (WORD_BITS + 6)) - 1))
 
 
-def membership(hashes: DataFrame, h: str) -> DataFrame:
-    """A table (slot, bits) of at most 2**20 rows that tells of any hash whether it surely isn't among `hashes`."""
+def membership(hashes: DataFrame, h: str) -> DataFrame | None:
+    """A table (slot, bits) of at most 2**20 rows that tells of any hash whether it surely isn't among `hashes`; None if
+    these are too many. hashes is read twice: it should be stored, or cheap."""
+    if hashes.count() > MOST_MEMBERS:
+        return None
     at = _slot(F.col(h))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
     return hashes.groupBy(F.shiftright(at, 6).alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
 
 
-def with_suspects(df: DataFrame, members: DataFrame, h: Column, name: str = "_suspect") -> DataFrame:
-    """df with a boolean column: false where the row's hash surely isn't a member. The broadcast side is bounded by construction."""
+def with_suspects(df: DataFrame, members: DataFrame | None, h: Column, name: str = "_suspect") -> DataFrame:
+    """df with a boolean column: false where the row's hash surely isn't a member (null hashes aren't). The broadcast side
+    is bounded by construction. df is the operator's own: its columns are not named as those that are added here."""
+    if members is None:
+        return df.withColumn(name, h.isNotNull())
     df = df.withColumn("_h", h)
     at = _slot(F.col("_h"))
     held = F.coalesce(F.call_function("shiftright", F.col("_bits"), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
@@ -99,13 +107,34 @@ def with_suspects(df: DataFrame, members: DataFrame, h: Column, name: str = "_su
     return df.withColumn("_at", F.shiftright(at, 6)).join(F.broadcast(m), "_at", "left").withColumn(name, held).drop("_h", "_at", "_bits")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one: beside it, an operator's own columns clash with none of them, however they are named."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
 def without(df: DataFrame, drops: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """Rows of df whose keys aren't in drops (columns named as in keys). Rows that surely aren't meant are never shuffled."""
-    columns = df.columns
-    h = lambda: F.xxhash64(*(F.col(f"_k_{k}") for k in keys))
-    gone = drops.select(*(F.col(k).alias(f"_k_{k}") for k in keys))
-    keyed = df.select("*", *(c.alias(f"_k_{k}") for k, c in keys.items()))
-    keyed = with_suspects(keyed, membership(gone.select(h().alias("_m")), "_m"), h())
-    same = [keyed[f"_k_{k}"].eqNullSafe(gone[f"_k_{k}"]) for k in keys]
-    rest = keyed.filter("_suspect").join(gone, same, "left_anti")
-    return keyed.filter("not _suspect").select(*columns).unionByName(rest.select(*columns))
+    """Rows of df whose keys aren't in drops (stored; columns named as in keys). By the first key, rows that surely aren't
+    meant are told and never shuffled, unless drops are too many to tell; further keys are worked out for others only."""
+    first = next(iter(keys))
+    members = membership(drops.select(F.xxhash64(first).alias("m")), "m")
+    told = with_suspects(df.select(whole_row(df).alias("_row"), keys[first].alias("_first")), members, F.xxhash64("_first"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    rest = told.filter("_suspect").select("_row.*")
+    rest = rest.select(whole_row(df).alias("_row"), *(c.alias(n) for n, c in zip(names, keys.values(), strict=True)))
+    gone = drops.select(*(F.col(k).alias(f"_gone{n}") for n, k in zip(names, keys, strict=True)))
+    rest = rest.join(gone, [rest[n].eqNullSafe(gone[f"_gone{n}"]) for n in names], "left_anti")
+    return told.filter("not _suspect").select("_row.*").unionByName(rest.select("_row.*"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, same: Callable[[DataFrame, DataFrame], Column], size: str) -> DataFrame:
+    """rows, left-joined with the line of their group; `size` is the column of groups that counts a group's rows.
+
+    A group of more than a thousandth of all rows would be one key of one task. Of such there are less than 1,000: these
+    lines are broadcast, and their rows stay where they are. Only the rest is shuffled. groups is read three times and
+    should be stored; its columns are named apart from those of rows.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) * 1000 > total).withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), same(rows, hot), "left")
+    rest = met.filter("_hot is null").select(*rows.columns)
+    return met.filter("_hot").drop("_hot").unionByName(rest.join(groups, same(rest, groups), "left"))

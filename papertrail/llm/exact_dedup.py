@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import membership, stored, with_suspects, without
+from papertrail.llm.common import join_groups, membership, stored, whole_row, with_suspects, without
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -17,25 +17,27 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     map-side combine: a length that a third of all rows share is a few rows for each task). Only rows whose length and
     prefix occur more than once get their full content hashed (SHA-256); which these are is told by a membership table
     of at most 2**20 rows, whose false alarms cost a hash and change nothing. Rows move between executors without
-    their texts. A very large group is the many-rows side of an equi-join, which adaptive execution splits.
+    their texts, and those of very large groups don't move (see join_groups).
 
-    Repeated rows (same id and text): exactly one of them stays. A null id counts as smaller than any other, and if all
-    ids of a group are null one row stays, keep_id being null. Empty texts are one group. Only the id, the text and
-    what extra names are read. An empty table gives no rows.
+    Repeated rows (same id and text): exactly one of them stays. Ids may be of any type that has an order. A null id
+    counts as smaller than any other, and if all ids of a group are null one row stays, keep_id being null. Empty texts
+    are one group. Only the id, the text and what extra names are read. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_bytes, head = F.octet_length(text).cast("long"), F.xxhash64(F.substring(text, 1, prefix))
     coarse = docs.select(n_bytes.alias("n"), head.alias("p"))
-    same = coarse.groupBy("n", "p").agg(F.count("*").alias("rows")).filter("rows > 1")
+    same = stored(coarse.groupBy("n", "p").agg(F.count("*").alias("rows")).filter("rows > 1").select("n", "p"), "coarse")
     again = membership(same.select(F.xxhash64("n", "p").alias("h")), "h")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), n_bytes.alias("n_bytes"), head.alias("p"), *(c.alias(k) for k, c in (extra or {}).items()))
+    more = F.struct(F.lit(0).alias("_"), *(c.alias(k) for k, c in (extra or {}).items()))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), n_bytes.alias("n_bytes"), head.alias("p"), more.alias("more"))
     rows = with_suspects(rows, again, F.xxhash64("n_bytes", "p"))
-    rows = rows.select("id", "n_bytes", F.when(F.col("_suspect"), F.sha2("text", 256)).alias("full_hash"), F.monotonically_increasing_id().alias("row"), *(extra or {}))
+    rows = rows.select("id", "n_bytes", F.when(F.col("_suspect"), F.sha2("text", 256)).alias("full_hash"), F.monotonically_increasing_id().alias("row"), "more")
     rows = stored(rows, "hashed")
-    last = F.max(F.struct(F.coalesce(F.col("id"), F.lit(-(1 << 63))), "row", "id"))
-    groups = rows.filter("full_hash is not null").groupBy("n_bytes", "full_hash").agg(last.alias("last"), F.count("*").alias("size"))
-    groups = groups.filter("size > 1").select(F.col("n_bytes").alias("n"), F.col("full_hash").alias("f"), F.col("last.id").alias("keep"), F.col("last.row").alias("keep_row"), "size")
-    suspects = rows.filter("full_hash is not null").join(groups, (F.col("full_hash") == F.col("f")) & (F.col("n_bytes") == F.col("n")), "left")
+    last = F.max(F.struct(F.col("id").isNotNull().alias("there"), "id", "row"))
+    alike = rows.filter("full_hash is not null")
+    groups = alike.groupBy("n_bytes", "full_hash").agg(last.alias("last"), F.count("*").alias("size"))
+    groups = stored(groups.filter("size > 1").select(F.col("n_bytes").alias("n"), F.col("full_hash").alias("f"), F.col("last.id").alias("keep"), F.col("last.row").alias("keep_row"), "size"), "groups")
+    suspects = join_groups(alike, groups, lambda a, g: (a["full_hash"] == g["f"]) & (a["n_bytes"] == g["n"]), "size")
     alone = rows.filter("full_hash is null").withColumns({"keep": F.col("id"), "keep_row": F.col("row"), "size": F.lit(1).cast("long")})
     both = suspects.select(*alone.columns).unionByName(alone)
     size = F.coalesce("size", F.lit(1).cast("long"))
@@ -46,27 +48,29 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         (F.coalesce("keep_row", "row") == F.col("row")).alias("kept"),
         "n_bytes",
         "full_hash",
-        *(extra or {}),
+        *(F.col(f"more.`{k}`") for k in extra or {}),
     )
 
 
 def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() doesn't keep, all columns as they were.
+    """docs without the rows that exact_groups() doesn't keep, all columns as they were, however they are named.
 
     Of rows that agree in id and text one stays, whichever their other columns: the one with the smallest other columns
-    as text. Texts of rows that stay anyway are not shuffled.
+    as text. Nulls: a null text is an empty one, a null id the smallest; nulls in other columns stay. Texts of rows that
+    stay anyway are not shuffled. An empty table gives an empty table.
     """
-    found = stored(exact_groups(docs, id_col=id_col, text_col=text_col).filter("not kept or group_size > 1"), "copies")
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    keys = {"id": F.col(id_col), "digest": digest}
+    found = exact_groups(docs, id_col=id_col, text_col=text_col).filter("not kept or group_size > 1")
     shown = found.groupBy(F.col(id_col).alias("id"), F.col("full_hash").alias("digest")).agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
     shown = stored(shown, "decided")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keys = {"id": F.col(id_col), "digest": digest}
     gone = shown.filter("not any_kept").select("id", "digest")
     twice = shown.filter("any_kept and n > 1").select("id", "digest")
     left = without(docs, gone, keys)
     if twice.limit(1).count() == 0:
         return left
-    keyed = docs.select("*", F.col(id_col).alias("_id"), digest.alias("_digest"))
-    repeated = keyed.join(twice, keyed["_id"].eqNullSafe(twice["id"]) & (keyed["_digest"] == twice["digest"]), "left_semi")
-    one = repeated.groupBy("_id", "_digest").agg(F.min_by(F.struct(*(repeated[c] for c in docs.columns)), F.to_json(F.struct(*(repeated[c] for c in docs.columns if c != text_col)))).alias("one")).select("one.*")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != text_col)))
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("i"), digest.alias("d"), others.alias("others"))
+    repeated = keyed.join(twice, keyed["i"].eqNullSafe(twice["id"]) & (keyed["d"] == twice["digest"]), "left_semi")
+    one = repeated.groupBy("i", "d").agg(F.min_by("row", "others").alias("row")).select("row.*")
     return without(left, twice, keys).unionByName(one)

@@ -33,3 +33,13 @@ def docs(spark):
 
 
 SF = "/root/testdata/sf0.001"
+
+#: Columns named as operators name theirs, and text ids.
+CLASHES = ["_h", "_at", "_suspect", "_id", "_digest", "_row", "_hot", "_first", "score", "lang_pred", "id", "h", "d", "i", "group", "block", "more", "full_hash", "a.b", "row"]
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    schema = "doc_id string, text string, lang string, source string, " + ", ".join(f"`{c}` boolean" for c in CLASHES)
+    rows = [(None if r[0] is None else f"id{r[0]}", *r[1:4], *((k + j) % 3 == 0 for j in range(len(CLASHES)))) for k, r in enumerate(ROWS)]
+    return spark.createDataFrame(rows, schema).repartition(3)

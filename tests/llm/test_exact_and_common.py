@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import without, word_blocks
+from papertrail.llm import common
+from papertrail.llm.common import join_groups, without, word_blocks
 from papertrail.llm.components import components
 from papertrail.llm.exact_dedup import drop_exact, exact_groups
 from tests.llm.conftest import ROWS
@@ -58,3 +59,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 5: 3, 7: 3, 8: 8, 9: 8}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_text_ids_and_clashing_columns(clashing):
+    rows = [tuple(r) for r in clashing.collect()]
+    kept = drop_exact(clashing)
+    assert kept.columns == clashing.columns and set(map(tuple, kept.collect())) <= set(rows)
+    got = exact_groups(clashing, extra={"row": F.col("`a.b`"), "_suspect": F.lit("x")}).collect()
+    assert {r["keep_id"] for r in got if r["doc_id"] == "id1"} == {"id2"} and {r["_suspect"] for r in got} == {"x"}
+    assert len(kept.collect()) == sum(r["kept"] for r in got) == len({r[1] or "" for r in rows})
+    assert sorted(map(str, without(clashing, clashing.sparkSession.createDataFrame([("id7",)], "doc_id string"), {"doc_id": F.col("doc_id")}).collect())) == sorted(str(r) for r in clashing.collect() if r["doc_id"] != "id7")
+
+
+def test_hot_groups_are_joined_where_they_are(spark):
+    rows = spark.createDataFrame([(i, 7 if i < 1500 else i) for i in range(3000)] + [(5000, None)], "i long, k long")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n")).withColumnRenamed("k", "g").filter("g % 2 = 1")
+    got = {(r["i"], r["k"], r["n"]) for r in join_groups(rows, groups, lambda a, b: a["k"] == b["g"], "n").collect()}
+    assert got == {(r["i"], r["k"], (1500 if r["k"] == 7 else 1) if r["k"] is not None and r["k"] % 2 else None) for r in rows.collect()}
+
+
+def test_membership_of_too_many(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_MEMBERS", 10)
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    drops = spark.range(0, 1000, 3).withColumnRenamed("id", "k")
+    assert common.membership(drops.select(F.xxhash64("k").alias("h")), "h") is None
+    assert sorted(r["k"] for r in without(df, drops, {"k": F.col("k")}).collect()) == [i for i in range(1000) if i % 3]
