@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import membership, over_arrow, partitions, stored, utf8, with_suspects, without, word_blocks
+from papertrail.llm.common import join_groups, membership, over_arrow, partitions, stored, utf8, with_suspects, without, word_blocks
 from papertrail.llm.components import components
 from papertrail.llm.decontam import shingle_hashes
 
 SEED = 42
 #: Fingerprints that may share a segment's value before they are told apart by finer segments of the other bits.
 HOT = 256
-#: Documents of one candidate group that a task clusters at once.
-GROUP_BLOCK = 4000
+#: Documents of one candidate group that a task clusters at once, and the bytes of their texts at most (or one document).
+GROUP_BLOCK, GROUP_BYTES = 1000, 16 << 20
+#: Fingerprints in one bucket that a task compares at once.
+BUCKET = 4096
+#: The share of bits in which fingerprints differ at the limit of similarity: the angle between sets of Jaccard 0.8 by pi.
+DIFFER = 0.152
 
 
 def _sum_bits(h: np.ndarray) -> np.ndarray:
@@ -149,25 +154,27 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     fingerprint: 64 bits as 16 lower-case hex digits. Fingerprints with at most `radius` differing bits are linked;
     component_id is the smallest id that a row reaches, itself included. Links are between distinct fingerprints, so
-    that a group of copies of any size is one node; rows find their component by an equi-join on the fingerprint, whose
-    many-rows side adaptive execution splits.
+    that a group of copies of any size is one node; rows find their component by an equi-join on the fingerprint, and
+    those of very large groups don't move for it (see join_groups).
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows are reported each. A null id
     is never a component's smallest unless all its ids are null. Other columns are not read, whatever their names. An
     empty table gives no rows.
     """
     rows = stored(fingerprint_table(docs, id_col=id_col, text_col=text_col, width=width).select("id", F.col("fp0").alias("fp")), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     found = components(hamming_links(nodes.select("fp"), radius))
     linked = found.join(nodes, found["node"] == nodes["fp"]).select("component", "fp", "least")
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.select("component", "fp").join(smallest, "component").select("fp", "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = nodes.join(linked, "fp", "left").select(F.col("fp").alias("node"), F.coalesce("component_id", "least").alias("component_id"), "n")
+    found = join_groups(rows, stored(named, "named"), lambda r, g: r["fp"] == g["node"], "n")
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node, fp0, fp1, ...) sorted by key: links that connect the nodes of each key within `radius`.
+    """Of rows (key, node, fp0, fp1, ...) sorted by key: (key, a, b), links that connect the nodes of each key within
+    `radius`, and a line (key, a, a) for each node that is the smallest of those it reaches.
 
     A spanning set of links leaves, never all pairs. Distances of a key's rows are taken in blocks.
     """
@@ -210,14 +217,17 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
         fps = np.stack([table.column(k).to_numpy() for k in range(2, table.num_columns)], 1).view(np.uint64)
         cuts = np.flatnonzero(np.diff(keys)) + 1
         ends = [*cuts.tolist(), len(keys)] if last else cuts.tolist()
-        out: tuple[list[int], list[int]] = ([], [])
+        out: tuple[list[int], list[int], list[int]] = ([], [], [])
         at = 0
         for end in ends:
             if end - at > 1:
-                for mine, new in zip(out, near(node[at:end], fps[at:end]), strict=True):
-                    mine.extend(new)
+                a, b = near(node[at:end], fps[at:end])
+                roots = np.setdiff1d(node[at:end], b).tolist()
+                out[0].extend([int(keys[at])] * (len(a) + len(roots)))
+                out[1].extend(a + roots)
+                out[2].extend(b + roots)
             at = end
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"]), table.slice(at)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "a", "b"]), table.slice(at)
 
     for b in batches:
         table = pa.Table.from_batches([b])
@@ -228,90 +238,240 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
         yield runs(carry, True)[0]
 
 
-def _clustered(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (group, block, id, h, text) sorted by group, block, id: each row's leader.
+def segment_plan(rows: int) -> tuple[int, int, int]:
+    """(words of 64 bits of a fingerprint, bits of a segment, number of segments) for so many rows.
+
+    Segments grow with the logarithm of the number of rows, so that some thousand fingerprints share a value however many
+    there are. Longer segments of longer fingerprints are searched in more places, so that of pairs at the limit of
+    similarity, where 15 % of the bits differ, 97 % and more differ in two bits at most in one segment at every size, and
+    over 99 % up to 8 million rows.
+    """
+    size = max(16, math.ceil(math.log2(max(2, rows))) - 7)
+    if size == 16:
+        return 2, size, 8
+    meet = sum(math.comb(size, k) * DIFFER**k * (1 - DIFFER) ** (size - k) for k in range(3))
+    return 4 if size <= 20 else 8, size, math.ceil(1.5 * math.log(0.005) / math.log(1 - meet))
+
+
+def _window(start: int, size: int, words: int) -> F.Column:
+    """`size` bits of the words fp0, fp1, ... from a place on; behind the last comes the first."""
+    word, shift = divmod(start % (64 * words), 64)
+    low = F.shiftrightunsigned(f"fp{word}", shift)
+    if shift + size > 64:
+        low = low.bitwiseOR(F.shiftleft(f"fp{(word + 1) % words}", 64 - shift))
+    return low.bitwiseAND(F.lit((1 << size) - 1))
+
+
+def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
+    """(a, b): links that connect nodes (node, fp0, fp1, ...) that differ in a quarter of their bits at most, and in two
+    places at most of some segment (see segment_plan).
+
+    Each node is filed under every value in the Hamming ball of radius 1 around each segment; distances are verified in
+    the buckets. A bucket of over BUCKET nodes is dealt into blocks; what a block links to a smaller node stays behind,
+    and the others meet in a next round. When a round no longer halves a bucket, its blocks meet pair by pair.
+    """
+    spark, radius, fps = nodes.sparkSession, 16 * words, [f"fp{k}" for k in range(words)]
+    # a key: the number of the segment above its value
+    values = F.array(*(F.lit(k << size).bitwiseOR(_window(k * 64 * words // m, size, words)) for k in range(m)))
+    masks = F.lit(ball(size, 1)).cast("array<bigint>")
+    filed = nodes.select(F.explode(values).alias("value"), "node", *fps).select("value", F.explode(masks).alias("mask"), "node", *fps)
+    filed = filed.select(F.col("value").bitwiseXOR(F.col("mask")).alias("key"), "node", *fps)
+
+    def linked(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
+        return dealt.mapInArrow(lambda batches: _linked_in_buckets(batches, radius), "key long, a long, b long")
+
+    counts = filed.groupBy("key").agg(F.count("*").alias("n"))
+    hot = stored(counts.filter(F.col("n") > BUCKET).select("key", "n"), "hot")
+    if hot.limit(1).count() == 0:
+        return linked(filed).filter("a <> b").select("a", "b")
+    out = stored(linked(filed.join(hot, "key", "left_anti")).filter("a <> b").select("a", "b"), "links")
+    left = stored(filed.join(hot, "key").withColumn("was", F.lit(None).cast("long")), "crowded")  # was: the bucket's nodes a round before
+    turn = 0
+    while left.limit(1).count():
+        blocks = F.ceil(F.col("n") / BUCKET)
+        block = F.pmod(F.xxhash64("node", F.lit(turn)), blocks)
+        halved = F.coalesce((F.col("n") <= BUCKET) | (2 * F.col("n") <= F.col("was")), F.lit(True))
+        dealt = left.filter(halved).withColumn("key2", F.xxhash64("key", block))
+        own = stored(linked(dealt.select(F.col("key2").alias("key"), "node", *fps)), "round")
+        paired = left.filter(~halved).withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        paired = linked(paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", *fps))
+        out = out.unionByName(stored(own.unionByName(paired).filter("a <> b").select("a", "b"), "links"))
+        behind = own.filter("a <> b").select(F.col("key").alias("key2"), F.col("b").alias("node")).distinct()
+        rest = stored(dealt.filter(F.col("n") > BUCKET).join(behind, ["key2", "node"], "left_anti").select("key", "node", *fps, F.col("n").alias("was")), "rest")
+        left = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key"), "crowded")
+        turn += 1
+    return out
+
+
+def _shingle_table(texts: DataFrame, width: int) -> DataFrame:
+    """(node, size, shingle): the distinct shingles of texts (node, text), a row each."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = shingle_set(raw, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node), pa.int64()), pa.array(np.full(len(own), len(own)), pa.int64()), pa.array(own.view(np.int64))], names=["node", "size", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(over_arrow(made), "node long, size long, shingle long")
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The distinct shingles of a text, as hashes in ascending order; of fewer words than `width`, the whole sequence."""
+    own = [np.unique(shingle_hashes(words, min(width, max(1, len(words))))) for words in word_blocks(raw, width - 1)]
+    return np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+
 
-    A row follows the first leader before it whose shingle set has Jaccard similarity `least` or more with its own, by
-    exact counts over all leaders of the block; a row without one becomes a leader itself.
+def similar_pairs(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of texts (node, text) whose shingle sets have a Jaccard similarity of `least` or more.
+
+    Exact, by prefix filter: with its shingles in order of their frequency, a set of n shares one of its first
+    n - ceil(least * n) + 1 with any set that similar. Common shingles come last, so that pairs meet at rare ones.
+    """
+    table = stored(_shingle_table(texts, width), "shingles")
+    often = table.groupBy("shingle").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
+    ranked = table.join(often, "shingle").withColumn("place", place)
+    prefix = stored(ranked.filter((F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & (F.col("f") > 1)).select("shingle", "node", "size", "place"), "prefixes")
+    b = prefix.select("shingle", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    met = prefix.withColumnRenamed("node", "a").join(b, "shingle")
+    low, high = F.least("size", "size_b"), F.greatest("size", "size_b")
+    most = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) + F.least("place", "place_b")  # shingles that they may share
+    possible = (F.col("a") < F.col("b")) & (low >= high * least - 1e-9) & (most >= (low + high) * (least / (1 + least)) - 1e-6)
+    pairs = stored(met.filter(possible).select("a", "b", (low + high).alias("both")).distinct(), "pairs")
+    sets = table.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "shingle")
+    shared = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingle").alias("same")), ["b"]).filter("shingle = same")
+    n = shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("both").alias("both"))
+    return n.filter(F.col("n") >= (F.col("both") - F.col("n")) * least - 1e-9).select("a", "b")
+
+
+def independent(pairs: DataFrame) -> DataFrame:
+    """(node): those that go, so that of each pair (a, b) one at least goes, and each that goes has a partner that stays.
+
+    Rounds: a node stays if it comes before all its undecided partners in an order by hash; its partners go.
     """
-    now, sizes, index = None, [], {}
+    left = stored(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("w")).select("w.*").distinct(), "pairs")
+    order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    gone = left.select(F.col("u").alias("node")).limit(0)
+    while left.limit(1).count():
+        first = left.groupBy("u").agg(F.min(order("v")).alias("least"))
+        stay = stored(first.filter(order("u") < F.col("least")).select("u"), "stay")
+        go = stored(left.join(stay, "u", "left_semi").select(F.col("v").alias("node")).distinct(), "go")
+        gone = gone.unionByName(go)
+        decided = stay.select(F.col("u").alias("x")).unionByName(go.select(F.col("node").alias("x")))
+        left = stored(left.join(decided, F.col("u") == F.col("x"), "left_anti").join(decided, F.col("v") == F.col("x"), "left_anti"), "pairs")
+    return gone
+
+
+def followers(sets: list[np.ndarray], least: float) -> list[bool]:
+    """Which of these shingle sets follow a leader: one before them that leads and is similar by `least` or more.
+
+    A set that follows none leads itself; an empty set neither leads nor follows. By prefix filter: with shingles in
+    order of their frequency here, similar sets meet in their first n - ceil(least * n) + 1; meetings are judged exactly.
+    """
+    every = np.concatenate([np.zeros(0, np.uint64), *sets])
+    distinct, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.lexsort((distinct, count))] = np.arange(len(distinct))
+    shared = np.sort(count) > 1  # by rank
+    out, index, end = [], {}, 0
+    for i, own in enumerate(sets):
+        start, end = end, end + len(own)
+        prefix = np.sort(rank[at[start:end]])[: len(own) - math.ceil(least * len(own) - 1e-9) + 1] if len(own) else rank[:0]
+        prefix = prefix[shared[prefix]].tolist()
+        for j in dict.fromkeys(j for x in prefix for j in index.get(x, ())):
+            low, high = sorted((len(own), len(sets[j])))
+            if low >= high * least - 1e-9:
+                both = len(np.intersect1d(own, sets[j], assume_unique=True))
+                if both >= least * (low + high - both) - 1e-9:
+                    out.append(True)
+                    break
+        else:
+            out.append(False)
+            for x in prefix:
+                index.setdefault(x, []).append(i)
+    return out
+
+
+def _clustered(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (group, block, id, h, text) sorted by group, block, id: whether each follows a leader of its block."""
+    now, rows, sets = None, [], []
+    names, types = ["group", "id", "h", "led"], None
+
+    def judged() -> pa.RecordBatch:
+        columns = [*zip(*rows, strict=True), followers(sets, least)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
     for b in batches:
-        led = []
-        for group, block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+        types = [b.column(0).type, b.column(2).type, b.column(3).type, pa.bool_()]
+        for group, block, key, h, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if now != (group, block):
-                now, sizes, index = (group, block), [], {}
-            own = set()
-            for words in word_blocks(raw, width - 1):
-                own.update(shingle_hashes(words, min(width, max(1, len(words)))).tolist())
-            if not own:
-                led.append(False)
-                continue
-            shared = np.zeros(len(sizes), np.int64)
-            for x in own:
-                for i in index.get(x, ()):
-                    shared[i] += 1
-            both = len(own) + np.array(sizes, np.int64) - shared
-            if len(sizes) and (shared >= least * both - 1e-9).any():
-                led.append(True)
-                continue
-            led.append(False)
-            for x in own:
-                index.setdefault(x, []).append(len(sizes))
-            sizes.append(len(own))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(led, pa.bool_())], names=["group", "id", "h", "led"])
-
-
-def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 32, m: int = 8, size: int = 16) -> DataFrame:
-    """docs with one row of each group of near duplicates, all columns as they were.
-
-    Candidates: SimHash fingerprints of 128 bits over the distinct shingles of `width` words, since similarity is that of
-    sets: a passage counts once however often it is repeated. Each fingerprint is filed under every
-    value in the Hamming ball of radius 1 around each of m segments of `size` bits, so that two fingerprints meet if
-    some segment of theirs differs in two bits at most; complete distances are verified (`radius`), and links leave a
-    bucket as a spanning set. The segments cover both words. At a similarity of 0.8 the expected
-    distance is 19.4 bits, well below the radius; false candidates cost a comparison, since all are judged exactly.
-    Verification: within the components of these links, in the
-    order of ids, a row is dropped if its shingle set has a Jaccard similarity of `least` or more with a row that stays.
-    Components of over 4,000 rows are dealt into blocks, whose leaders meet in a next round, until that drops no more.
-
-    Rows are told apart by id and text; rows that agree in both stay or go together (the exact stage comes before this
-    one). Null and empty texts have no shingles and are similar to nothing: all stay, as does any row with a null in
-    other columns. An empty table gives an empty table.
+                if rows:
+                    yield judged()
+                now, rows, sets = (group, block), [], []
+            rows.append((group, key, h))
+            sets.append(shingle_set(raw, width))
+    if rows:
+        yield judged()
+
+
+def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates, all columns as they were, however they are named.
+
+    Candidates: SimHash fingerprints of 128 bits (more beyond 8 million rows, see `segment_plan`) over the distinct
+    shingles of `width` words, since similarity is that of sets: a passage counts once however often it is repeated. They
+    are linked by multi-index hashing (`near_links`). At a similarity of 0.8 the expected distance is 19.4 of 128 bits,
+    well below the radius of 32; false candidates cost a comparison, since all are judged exactly.
+
+    Verification: within the components of these links a row is dropped if its shingle set has a Jaccard similarity of
+    `least` or more with a row that stays. A component is clustered in the order of ids; one of over 1,000 rows or 16 MB
+    is dealt into blocks by hash, whose leaders meet in a next round as long as rounds drop a fifth of such rows; then all
+    pairs of their leaders are found by an exact join (`similar_pairs`). So no two rows that stay in a component are that
+    similar, whatever its size.
+
+    Rows are told apart by id (of any type) and text; rows that agree in both stay or go together (the exact stage comes
+    before this one). Null and empty texts have no shingles and are similar to nothing: all stay, as does any row with a
+    null in other columns that is no near duplicate. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = stored(fingerprint_table(docs, id_col=id_col, text_col=text_col, width=width, parts=2, distinct=True), "wide")
-    nodes = stored(rows.groupBy("fp0", "fp1").agg(F.count("*").alias("n")).withColumn("node", F.xxhash64("fp0", "fp1")), "nodes")
-    masks = ball(size, 1)
-    per_word = 64 // size
-    keys = F.array(*(F.lit(k << size) + _value(f"fp{k // per_word}", k % per_word * size, size).bitwiseXOR(F.lit(x)) for k in range(m) for x in masks))
-    filed = nodes.select(F.explode(keys).alias("key"), "node", "fp0", "fp1")
-    filed = filed.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    links = filed.mapInArrow(lambda batches: _linked_in_buckets(batches, radius), "a long, b long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    words, size, m = segment_plan(docs.count())
+    fps = [f"fp{k}" for k in range(words)]
+    rows = stored(fingerprint_table(docs, id_col=id_col, text_col=text_col, width=width, parts=words, distinct=True), "wide")
+    nodes = stored(rows.groupBy(*fps).agg(F.count("*").alias("n")).withColumn("node", F.xxhash64(*fps)), "nodes")
     copies = nodes.filter("n > 1").select("node", F.col("node").alias("component"))
-    found = components(links)
+    found = components(near_links(nodes.select("node", *fps), words, size, m))
     groups = found.unionByName(copies.join(found, "node", "left_anti"))
-    members = stored(rows.join(nodes, ["fp0", "fp1"]).join(groups, "node").select("id", "h", F.col("component").alias("group")), "members")
+    named = stored(nodes.join(groups, "node").select(F.col("node").alias("of"), F.col("component").alias("group"), "n"), "groups")
+    members = join_groups(rows.select("id", "h", F.xxhash64(*fps).alias("node")), named, lambda r, g: r["node"] == g["of"], "n").filter("group is not null")
+    members = stored(members.select("id", "h", "group").distinct(), "members")
     h = F.xxhash64(utf8(text_col))
     texts = docs.select(F.col(id_col).alias("id"), h.alias("h"), utf8(text_col).alias("text"))
     key = lambda: F.xxhash64("id", "h")
     suspects = with_suspects(texts, membership(members.select(key().alias("m")), "m"), key()).filter("_suspect").drop("_suspect")
-    m2 = members.select(F.col("id").alias("i"), F.col("h").alias("g"), "group").distinct()
-    alive = stored(suspects.join(m2, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("group", "id", "h", "text").dropDuplicates(["id", "h"]), "candidates")
+    m2 = members.select(F.col("id").alias("i"), F.col("h").alias("g"), "group")
+    same = lambda: F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))
+    alive = stored(suspects.join(m2, same()).select("group", "id", "h", "text").dropDuplicates(["id", "h"]), "candidates")
     gone: DataFrame | None = None
     turn = 0
     while True:
-        sizes = alive.groupBy("group").agg(F.count("*").alias("n"))
-        blocks = F.ceil(F.col("n") / GROUP_BLOCK)
-        dealt = alive.join(sizes, "group").select("group", F.pmod(F.xxhash64("id", "h", F.lit(turn)), blocks).alias("block"), "id", "h", "text", "n")
-        ordered = dealt.drop("n").repartition(partitions(spark), "group", "block").sortWithinPartitions("group", "block", "id", "h")
-        kind = docs.schema[id_col].dataType.simpleString()
+        sizes = alive.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum(F.octet_length("text")) / GROUP_BYTES)).alias("blocks"))
+        sizes = stored(sizes, "sizes")
+        dealt = alive.join(sizes, "group").select("group", F.pmod(F.xxhash64("id", "h", F.lit(turn)), "blocks").alias("block"), "id", "h", "text")
+        ordered = dealt.repartition(partitions(spark), "group", "block").sortWithinPartitions("group", "block", "id", "h")
         judged = stored(ordered.mapInArrow(over_arrow(lambda batches: _clustered(batches, width, least)), f"group long, id {kind}, h long, led boolean"), "judged")
         led = judged.filter("led").select("id", "h")
         gone = led if gone is None else gone.unionByName(led)
-        large = sizes.filter(F.col("n") > GROUP_BLOCK).select("group")
-        if large.limit(1).count() == 0 or judged.join(large, "group", "left_semi").filter("led").limit(1).count() == 0:
+        large = sizes.filter("blocks > 1").select("group")
+        if large.limit(1).count() == 0:
+            break
+        crowd = judged.join(large, "group", "left_semi")
+        next_up = crowd.filter("not led").select(F.col("id").alias("i"), F.col("h").alias("g"))
+        alive = stored(alive.join(next_up, same(), "left_semi"), "leaders")
+        if crowd.agg(F.sum(F.col("led").cast("int")) * 5 < F.count("*")).first()[0]:
+            numbered = stored(alive.select("id", "h", "text", F.monotonically_increasing_id().alias("node")), "numbered")
+            go = independent(similar_pairs(numbered, width, least))
+            gone = gone.unionByName(numbered.join(go, "node", "left_semi").select("id", "h"))
             break
         turn += 1
-        next_up = judged.filter("not led").join(large, "group", "left_semi").select(F.col("id").alias("i"), F.col("h").alias("g"))
-        alive = stored(alive.join(next_up, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_semi"), "leaders")
-    return without(docs, gone.distinct(), {"id": F.col(id_col), "h": h})
+    return without(docs, stored(gone.distinct(), "gone"), {"id": F.col(id_col), "h": h})

@@ -4,6 +4,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from papertrail.llm import simhash
 from tests.llm.conftest import ROWS
@@ -123,10 +125,140 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_BLOCK", 4)
     words = [f"w{i}" for i in range(300)]
     rows = [(k, " ".join(words[:k] + ["x"] + words[k + 1 :])) for k in range(30)]
-    assert [r["doc_id"] for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()] != []
     assert simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
 
 
+def template_pages(n, pairs, rng):
+    """n texts that share a third of their words, so that all are linked as candidates, and `pairs` near copies among them."""
+    common = [f"c{i}" for i in range(200)]
+    bodies = [[f"b{x}" for x in rng.integers(0, 10**9, 60)] for _ in range(n)]
+    for k in range(pairs):
+        bodies[n - 1 - k] = [*bodies[k][:-2], "other", "words"]
+    return [(i, " ".join(common + b)) for i, b in enumerate(bodies)]
+
+
+@pytest.mark.parametrize("block, n", [(1000, 4500), (7, 400)])
+def test_a_large_group_of_leaders_equals_brute_force(spark, monkeypatch, block, n):
+    """More distinct leaders than any block holds: all similar pairs are found nevertheless."""
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", block)
+    monkeypatch.setattr(simhash, "GROUP_BYTES", 1 << 30)
+    rows = template_pages(n, 40, np.random.default_rng(n))
+    sets = [shingles(t) for _, t in rows]
+    assert all(jaccard(sets[k], sets[n - 1 - k]) >= 0.8 for k in range(40)) and jaccard(sets[50], sets[51]) < 0.8
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, *plan: nodes.select(F.min("node").over(Window.partitionBy(F.lit(1))).alias("a"), F.col("node").alias("b")))
+    left = {r["doc_id"] for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id").collect()}
+    assert len(left) == n - 40 and all((k in left) != (n - 1 - k in left) for k in range(40))
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(150):
+        words = [f"v{x}" for x in rng.integers(0, 400, int(rng.integers(0, 60)))]
+        rows.append((3 * i, " ".join(words)))
+        for k in (1, 2):
+            other = list(words)
+            for at in rng.integers(0, max(1, len(words)), int(rng.integers(0, 3))):
+                if other:
+                    other[int(at)] = "changed"
+            rows.append((3 * i + k, " ".join(other)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = sorted((a, b) for a, b in combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= 0.8)
+    for least, own in ((0.8, want), (0.5, sorted((a, b) for a, b in combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= 0.5))):
+        df = spark.createDataFrame([(i, t.encode()) for i, t in rows], "node long, text binary")
+        got = simhash.similar_pairs(df, 5, least)
+        assert sorted(map(tuple, got.collect())) == own and len(own) > 100
+    gone = {r["node"] for r in simhash.independent(spark.createDataFrame(want, "a long, b long")).collect()}
+    assert all(a in gone or b in gone for a, b in want)
+    partners = {i: {*(b for a, b in want if a == i), *(a for a, b in want if b == i)} for i in gone}
+    assert all(partners[i] - gone for i in gone)
+
+
+def test_followers_equal_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        base = [set(rng.integers(0, 40, int(rng.integers(0, 30))).tolist()) for _ in range(12)]
+        sets = [b - set(rng.integers(0, 40, 2).tolist()) if rng.random() < 0.7 else b for b in base for _ in range(3)]
+        leaders, want = [], []
+        for own in sets:
+            follows = bool(own) and any(jaccard(own, x) >= 0.8 for x in leaders)
+            want.append(follows)
+            leaders += [own] if own and not follows else []
+        assert simhash.followers([np.array(sorted(x), np.uint64) for x in sets], 0.8) == want
+
+
+def test_segments_grow_with_the_rows():
+    assert simhash.segment_plan(1) == simhash.segment_plan(8_000_000) == (2, 16, 8)
+    plans = [simhash.segment_plan(10**k) for k in range(1, 13)]
+    assert plans == sorted(plans) and all(10**k * (size + 1) / 2**size < 10_000 for k, (_, size, _) in enumerate(plans, 1))
+    for words, size, m in set(plans):
+        rng = np.random.default_rng(size)
+        differ = rng.random((20_000, 64 * words)) < simhash.DIFFER
+        meet = np.zeros(len(differ), bool)
+        for k in range(m):
+            at = (k * 64 * words // m + np.arange(size)) % (64 * words)
+            meet |= differ[:, at].sum(1) <= 2
+        assert meet.mean() > (0.99 if size == 16 else 0.97), (words, size, m, meet.mean())
+
+
+@pytest.mark.parametrize("size", [16, 23, 40])
+def test_windows(spark, size):
+    rng = np.random.default_rng(1)
+    for words in (2, 4):
+        fps = [tuple(map(int, rng.integers(-(1 << 63), (1 << 63) - 1, words))) for _ in range(20)]
+        df = spark.createDataFrame(fps, ", ".join(f"fp{k} long" for k in range(words)))
+        for start in (0, 40, 60, 64, 100, 120, 64 * words - 3):
+            for *own, w in df.select("*", simhash._window(start, size, words).alias("w")).collect():
+                whole = sum((x % (1 << 64)) << (64 * k) for k, x in enumerate(own))
+                assert w == ((whole >> start) | (whole << (64 * words - start))) & ((1 << size) - 1)
+
+
+@pytest.mark.parametrize("plan", [(4, 18, 14), (8, 23, 23)])
+def test_longer_fingerprints_find_the_same(spark, monkeypatch, plan):
+    monkeypatch.setattr(simhash, "segment_plan", lambda rows: plan)
+    test_pairs_just_above_the_limit_are_found(spark)
+    test_near_copies_go_and_clean_documents_stay(spark)
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = lambda: int(rng.integers(0, 1 << 62)) | int(rng.integers(0, 1 << 62)) << 64
+
+    def near(base, k):
+        for at in rng.choice(128, k, replace=False):
+            base ^= 1 << int(at)
+        return base
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centres = [bits() for _ in range(5)]
+    words = {near(c, int(rng.integers(0, 9))) for c in centres for _ in range(60)}
+    far = {(x & ~((1 << 16) - 1)) | 77 for x in (bits() for _ in range(80))}  # one value of the first segment, far apart
+    words = sorted(words | far)
+    df = spark.createDataFrame([(i, signed(w & ((1 << 64) - 1)), signed(w >> 64)) for i, w in enumerate(words)], "node long, fp0 long, fp1 long")
+
+    def groups(links):
+        top = list(range(len(words)))
+        for a, b in links:
+            x, y = top[a], top[b]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    want = groups(sorted((r["a"], r["b"]) for r in simhash.near_links(df, 2, 16, 8).collect()))
+    for bucket in (7, 20):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        rows = simhash.near_links(df, 2, 16, 8).collect()
+        assert all((words[r["a"]] ^ words[r["b"]]).bit_count() <= 32 for r in rows)
+        assert groups(sorted((r["a"], r["b"]) for r in rows)) == want
+
+
+def test_clashing_columns_and_text_ids(clashing):
+    rows = set(map(tuple, clashing.collect()))
+    kept = simhash.drop_near(clashing)
+    assert kept.columns == clashing.columns and set(map(tuple, kept.collect())) <= rows
+    assert {r["doc_id"] for r in kept.collect()} >= {None, "id3", "id4", "id5", "id6", "id7", "id8"}
+    assert {r["component_id"] for r in simhash.simhash_components(clashing).collect() if r["doc_id"] == "id2"} == {"id1"}
+
+
 def test_drop_odd_documents(odd, none):
     kept = simhash.drop_near(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {1, 3, 4, 5, None, 6, 7, 8}
