@@ -15,6 +15,10 @@ from papertrail.llm.tokens import vocabulary_path
 
 #: Counted words go to the executors with their counts if they are among so many most frequent (or fewer); all others by a join.
 FREQUENT = 1 << 17
+#: Longer words than this are never among them, so that they take 8 MB at most.
+FREQUENT_BYTES = 64
+#: No piece lies across the end of a stretch of so many bytes of a word (less, to end with a character).
+STRETCH = 256
 #: Words that a task gathers: before it hands its counts on, and to handle side by side.
 HELD = 300_000
 #: Expectation-maximisation steps over the corpus, from the vocabulary's own weights.
@@ -50,8 +54,9 @@ class Pieces:
     """A vocabulary of subword pieces with probabilities, and the forward recursion over all segmentations of words.
 
     A word is its UTF-8 bytes behind a blank; a piece is such bytes too. Every byte is a piece by itself, so that any
-    text has a segmentation. Prefix hashes give every substring's number without making it: words of a length are
-    handled side by side.
+    text has a segmentation. Words of over STRETCH bytes are lattices of STRETCH bytes one behind the other: all their
+    segmentations that have a cut there count, and time and memory grow in proportion to a word's length. Prefix hashes
+    give every substring's number without making it: lattices of similar length are handled side by side.
     """
 
     def __init__(self, pieces: list[bytes]) -> None:
@@ -105,22 +110,29 @@ class Pieces:
         return arcs
 
     @staticmethod
-    def by_length(words: list[bytes], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places, rows of bytes with the leading blank), in blocks of one length and bounded size."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        for size in np.unique(sizes).tolist():
-            own = np.flatnonzero(sizes == size)
+    def blocks(words: list[bytes], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words' places, lengths, rows of bytes) of stretches, in blocks of bounded size. Rows are as long as the next
+        power of two, and what lies behind a stretch is no byte."""
+        stretches = [(i, x) for i, w in enumerate(words) for x in cut(b" " + w)]
+        owner = np.array([i for i, _ in stretches], np.int64)
+        sizes = np.array([len(x) for _, x in stretches], np.int64)
+        width = np.int64(1) << np.ceil(np.log2(np.maximum(4, sizes))).astype(np.int64)
+        for size in np.unique(width).tolist():
+            own = np.flatnonzero(width == size)
             step = max(1, most // (8 * (size + 1)))
             for a in range(0, len(own), step):
                 part = own[a : a + step]
-                rows = np.frombuffer(b"".join(b" " + words[i] for i in part.tolist()), np.uint8).reshape(len(part), size + 1)
-                yield part, rows.astype(np.uint64)
+                longest = int(sizes[part].max())
+                raw = b"".join(stretches[i][1].ljust(longest, b"\0") for i in part.tolist())
+                rows = np.frombuffer(raw, np.uint8).reshape(len(part), longest).astype(np.uint64)
+                rows[np.arange(longest) >= sizes[part][:, None]] = 1 << 20
+                yield owner[part], sizes[part], rows
 
     def forward(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
         """The natural logarithm of each word's probability: the sum over all its segmentations."""
         out = np.zeros(len(words))
-        for part, rows in self.by_length(words):
-            out[part] = self._alpha(rows, self._arcs(rows), logp)[-1]
+        for owner, sizes, rows in self.blocks(words):
+            np.add.at(out, owner, self._alpha(rows, self._arcs(rows), logp)[sizes, np.arange(len(sizes))])
         return out
 
     @staticmethod
@@ -134,18 +146,33 @@ class Pieces:
     def expected(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
         """How often each piece occurs in the words' segmentations, weighted by their probability."""
         out = np.zeros(len(self.pieces))
-        for _, rows in self.by_length(words):
+        for _, sizes, rows in self.blocks(words):
             arcs = self._arcs(rows)
             alpha = self._alpha(rows, arcs, logp)
+            each = np.arange(len(sizes))
+            whole = alpha[sizes, each]
             beta = np.full_like(alpha, -np.inf)
-            beta[-1] = 0
+            beta[sizes, each] = 0
             for i, j, own, piece in reversed(arcs):
                 step = logp[piece] + beta[j, own]
-                np.add.at(out, piece, np.exp(alpha[i, own] + step - alpha[-1, own]))
+                np.add.at(out, piece, np.exp(alpha[i, own] + step - whole[own]))
                 beta[i, own] = np.logaddexp(beta[i, own], step)
         return out
 
 
+def cut(word: bytes) -> list[bytes]:
+    """A word in stretches of at most STRETCH bytes that end with a character, if one ends there."""
+    out, at = [], 0
+    while len(word) - at > STRETCH:
+        end = at + STRETCH
+        while end > at + STRETCH - 4 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        end = end if word[end] & 0xC0 != 0x80 else at + STRETCH
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
+
+
 def vocabulary_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a sentencepiece vocabulary as lower-case bytes, and the weights that its scores give them.
 
@@ -201,7 +228,8 @@ def fit_pieces(counts: DataFrame, pieces: list[bytes], logp: np.ndarray, steps:
 
 
 def _least_frequent(counts: DataFrame) -> int:
-    """A count that at most FREQUENT words reach, from a histogram of counts in eighths of powers of two: a few hundred rows."""
+    """A count that at most FREQUENT words of few bytes reach, from a histogram of counts in eighths of powers of two: a few
+    hundred rows."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     taken, least = 0, 1 << 62
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
@@ -224,8 +252,9 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
     log space. No piece crosses the blank in front of a word, so a text's marginal probability is the product of its
     words' and its end's.
 
-    Counts of the most frequent words, at most 131,072, go to every task; each other word of a text is joined with its count: hot
-    words are never a join key. Tasks hold a batch of texts, the pieces and their counts. Null and empty texts have one
+    Counts of the most frequent words, at most 131,072 of at most 64 bytes, go to every task; each other word of a text is
+    joined with its count: hot words are never a join key. Tasks hold a batch of texts, the pieces and their counts.
+    Words of over 256 bytes are lattices of 256 bytes one behind the other. Null and empty texts have one
     token, the end. Nothing learned: every count is 0. Repeated rows are scored each; a null id stays null; other columns
     are not read, whatever their names; an empty table gives no rows.
     """
@@ -239,7 +268,8 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
     pieces, logp = vocabulary_pieces(path)
     if total:
         logp = fit_pieces(counts, pieces, logp)
-    frequent = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= _least_frequent(counts)).collect()}
+    short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES)
+    frequent = {bytes(r["word"]): r["n"] for r in short.filter(F.col("n") >= _least_frequent(short)).collect()}
     sent = spark.sparkContext.broadcast((pieces, logp, frequent))
     base_all = np.log10(total + distinct + 1)
     words_share = total + distinct

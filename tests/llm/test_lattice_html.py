@@ -1,6 +1,8 @@
 import math
+import time
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -64,8 +66,62 @@ def test_base_scores_equal_brute_force(spark, docs, monkeypatch, frequent):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(cs), sum(c > 0 for c in cs), n)
         assert math.isclose(r["base_score"], sum(math.log10((c + 1) / (n + v + 1)) for c in cs), rel_tol=1e-9)
         assert r["score"] < 0 and math.isfinite(r["score"])
-    known = [r["score"] / r["base_score"] for r in rows if not r["held_out"]]
-    assert 0.8 < sum(known) / len(known) < 1.1
+
+
+def slow_score(word, p, longest):
+    """log10 of a word's probability over all cuts into pieces, by the plain recursion over its bytes, in stretches."""
+    total = Decimal(1)
+    for part in lattice.cut(b" " + word):
+        alpha = [Decimal(1)] + [Decimal(0)] * len(part)
+        for j in range(1, len(part) + 1):
+            alpha[j] = sum(alpha[i] * p[part[i:j]] for i in range(max(0, j - longest), j) if part[i:j] in p)
+        total *= alpha[-1]
+    return float(total.log10())
+
+
+@pytest.mark.parametrize("frequent", [1 << 17, 3])
+def test_whole_scores_equal_brute_force(spark, docs, monkeypatch, frequent):
+    """score, once more in plain Python: expectation maximisation over the training words, then all documents' words."""
+    monkeypatch.setattr(lattice, "FREQUENT", frequent)
+    extra = [(10**6, "x" * 70 + " seen " + "é" * 150), (10**6 + 1, "http://" + "ab1" * 300 + " " + "日本語" * 40 + " the")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in df.collect()}
+    learned = {d: zlib.crc32(str(d).encode()) % 7 != 2 for d in texts}
+    counts, ends = Counter(), sum(learned.values())
+    for d, w in texts.items():
+        counts.update(w if learned[d] else [])
+    n, v = sum(counts.values()) + ends, len(counts) + 1
+    pieces, logp = lattice.vocabulary_pieces(vocabulary_path("piece_bpe_32k.model"))
+    model = lattice.Pieces(pieces)
+    for _ in range(lattice.STEPS):  # expected() is held against all segmentations above
+        total = model.expected(list(counts), logp) + 1e-3
+        logp = np.log(total / total.sum())
+    p = {x: Decimal(y) for x, y in zip(model.pieces, np.exp(logp).tolist(), strict=True)}
+    rest = math.log10(v / (n + v))
+    memo = {w: slow_score(w, p, model.longest) for w in set().union(*texts.values())}
+
+    def score(w):
+        s = memo[w] + rest
+        return s if w not in counts else max(s, math.log10(counts[w] / (n + v))) + math.log10(1 + 10 ** -abs(s - math.log10(counts[w] / (n + v))))
+
+    rows = lattice.score(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = sum(map(score, texts[r["doc_id"]])) + math.log10(ends / (n + v))
+        assert math.isclose(r["score"], want, rel_tol=1e-6), r
+
+
+def test_words_without_end_are_linear():
+    pieces, logp = lattice.vocabulary_pieces(vocabulary_path("piece_bpe_32k.model"))
+    model = lattice.Pieces(pieces)
+    rng = np.random.default_rng(1)
+    blob = bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8), 1 << 20))
+    start = time.process_time()
+    one, han = model.forward([blob, ("我们一起学习中文" * 12_000).encode()], logp)
+    model.expected([blob], logp)
+    assert time.process_time() - start < 30 and -1e8 < one < -1e6 and -1e8 < han < -1e5
+    assert sum(map(len, lattice.cut(blob))) == len(blob) and {len(x) for x in lattice.cut(blob)[:-1]} == {lattice.STRETCH}
+    assert all(x.decode() for x in lattice.cut("€".encode() * 1000)) and b"".join(lattice.cut(b"\x80" * 1000)) == b"\x80" * 1000
 
 
 def test_scores_of_odd_documents(odd, none):
