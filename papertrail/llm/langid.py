@@ -195,18 +195,23 @@ def labelled_sample(docs: DataFrame, learn_from: Column, *, text_col: str, lang_
     """Reference texts by language from a bounded sample of the labelled rows: see SAMPLE_DOCS and the figures beside it.
 
     Distinct texts are taken in the order of a hash, so that the sample depends neither on partitions nor on ids, and
-    copies count once; of each text a stretch that the hash places. The first pass over the rows brings together hashes
-    only (with map-side combine), the second fetches the stretches of the at most 200 chosen texts a language.
+    copies count once; of each text a stretch that the hash places. The first pass over the rows only counts hashes by
+    their magnitude (a power of two), and finds for each language up to which one there are enough; the second fetches
+    the stretches of these texts, some hundred a language.
     """
     text = F.col(text_col)
     at = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS)).cast("int") + 1
     labelled = docs.filter(learn_from & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(text).alias("h"), text.substr(at, F.lit(SAMPLE_CHARS)).alias("part"))
-    ranked = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = F.broadcast(ranked.filter(F.col("k") <= SAMPLE_DOCS))  # at most SAMPLE_DOCS rows a label
-    fetched = rows.join(chosen, ["lang", "h"]).groupBy("lang", "k").agg(F.min("part").alias("part"))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("h"), text.substr(at, F.lit(SAMPLE_CHARS)).alias("part"))
+    rows = rows.withColumn("magnitude", F.length(F.bin("h")))
+    counts = rows.select("lang", "h", "magnitude").distinct().groupBy("lang", "magnitude").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("lang").orderBy("magnitude"))
+    enough = counts.withColumn("n", up_to).groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("n") >= SAMPLE_DOCS, F.col("magnitude"))), F.max("magnitude")).alias("enough"))
+    near = rows.join(F.broadcast(enough), "lang").filter("magnitude <= enough")  # one row a label
+    fetched = near.groupBy("lang", "h").agg(F.min("part").alias("part"))
+    ranked = fetched.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= SAMPLE_DOCS)
     parts: dict[str, list[str]] = {}
-    for r in fetched.orderBy("lang", "k").toLocalIterator():
+    for r in ranked.orderBy("lang", "k").toLocalIterator():
         parts.setdefault(r["lang"], []).append(r["part"].lower())
     bound = min(LANGUAGE_CHARS, ALL_CHARS // max(1, len(parts)))
     return {lang: "\n".join(p)[:bound] for lang, p in parts.items()}
