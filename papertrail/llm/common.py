@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from papertrail.storage import forget, shared_dir, stored
 
-__all__ = ["fold_case", "forget", "join_groups", "membership", "over_arrow", "partitions", "shared_dir", "stored", "utf8", "whole_row", "with_suspects", "without", "word_blocks"]
+__all__ = ["fold_case", "forget", "join_groups", "kept", "membership", "over_arrow", "partitions", "shared_dir", "stored", "utf8", "whole_row", "with_suspects", "without", "word_blocks"]
+
+T = TypeVar("T")
 
 #: A membership table has at most 2**20 rows of 64 bits, whatever the input: so it may always be broadcast. Of more hashes
 #: than half of its bits it could no longer tell enough, and none is made.
@@ -47,6 +50,18 @@ def over_arrow(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
+_kept: list[tuple[object, object]] = []
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """What `make` gives, kept in a Python worker for its next tasks: one thing at a time, so that what one operator has
+    built makes room for the next one's."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]  # type: ignore[return-value]
+
+
 def utf8(text: str | Column) -> Column:
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import over_arrow, utf8, word_blocks
+from papertrail.llm.common import kept, over_arrow, utf8, word_blocks
 
 #: Items that one pass over the documents carries to the executors, and the bytes of their texts at most.
 BLOCK_ITEMS, BLOCK_BYTES = 50_000, 64 << 20
@@ -142,10 +143,10 @@ def contained_items(
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     out = None
     for block in item_blocks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ContainmentIndex(sent.value, width, least)
+        def found(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            index = kept(name, lambda: ContainmentIndex(sent.value, width, least))
             for b in batches:
                 hits = [(i, *hit) for i, raw in enumerate(b.column(1).to_pylist()) for hit in index.search(raw)]
                 at, item, shared, size = zip(*hits, strict=True) if hits else ((), (), (), ())
@@ -164,13 +165,18 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without the rows that contain an item, all columns as they were: a filter, one for each block of items."""
+    """docs without the rows that contain an item, all columns as they were, however they are named: a filter, one for
+    each block of items.
+
+    Null and empty texts contain nothing and stay, and so do rows with nulls in other columns if their text is clean;
+    repeated rows are judged each, repeated items change nothing; an empty table of either kind changes nothing.
+    """
     spark = docs.sparkSession
     for block in item_blocks(items, item_id, item_text):
-        sent, at = spark.sparkContext.broadcast(block), docs.columns.index(text_col)
+        sent, name, at = spark.sparkContext.broadcast(block), uuid.uuid4().hex, docs.columns.index(text_col)
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
-            index = ContainmentIndex(sent.value, width, least)
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent, name=name, at=at) -> Iterator[pa.RecordBatch]:
+            index = kept(name, lambda: ContainmentIndex(sent.value, width, least))
             for b in batches:
                 keep = [t is None or not index.search(t.encode()) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))

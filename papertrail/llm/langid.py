@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from papertrail.llm.common import over_arrow
+from papertrail.llm.common import kept, over_arrow
 
 #: The labelled sample: so many distinct documents of each language at most, so many characters of each document, and so
 #: many characters of each language; of all languages together not more than the last.
@@ -185,12 +184,6 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@lru_cache(1)
-def _parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
-    """One for each Python worker: the next task goes on with the automata of the last."""
-    return CrossParser(dict(references))
-
-
 def labelled_sample(docs: DataFrame, learn_from: Column, *, text_col: str, lang_col: str) -> dict[str, str]:
     """Reference texts by language from a bounded sample of the labelled rows: see SAMPLE_DOCS and the figures beside it.
 
@@ -233,7 +226,7 @@ def identify(docs: DataFrame, references: dict[str, str], *, text_col: str = "te
     at = docs.columns.index(text_col)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(sent.value)
+        parser = kept(sent.value, lambda: CrossParser(dict(sent.value)))
         for b in batches:
             texts = b.column(at).to_pylist()
             langs, scores = parser.predict(texts)

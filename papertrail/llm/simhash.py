@@ -174,7 +174,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Of rows (key, node, fp0, fp1, ...) sorted by key: (key, a, b), links that connect the nodes of each key within
-    `radius`, and a line (key, a, a) for each node that is the smallest of those it reaches.
+    `radius` with the smallest that they reach, a.
 
     A spanning set of links leaves, never all pairs. Distances of a key's rows are taken in blocks.
     """
@@ -222,10 +222,9 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
         for end in ends:
             if end - at > 1:
                 a, b = near(node[at:end], fps[at:end])
-                roots = np.setdiff1d(node[at:end], b).tolist()
-                out[0].extend([int(keys[at])] * (len(a) + len(roots)))
-                out[1].extend(a + roots)
-                out[2].extend(b + roots)
+                out[0].extend([int(keys[at])] * len(a))
+                out[1].extend(a)
+                out[2].extend(b)
             at = end
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "a", "b"]), table.slice(at)
 
@@ -284,8 +283,8 @@ def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
     counts = filed.groupBy("key").agg(F.count("*").alias("n"))
     hot = stored(counts.filter(F.col("n") > BUCKET).select("key", "n"), "hot")
     if hot.limit(1).count() == 0:
-        return linked(filed).filter("a <> b").select("a", "b")
-    out = stored(linked(filed.join(hot, "key", "left_anti")).filter("a <> b").select("a", "b"), "links")
+        return linked(filed).select("a", "b")
+    out = stored(linked(filed.join(hot, "key", "left_anti")).select("a", "b"), "links")
     left = stored(filed.join(hot, "key").withColumn("was", F.lit(None).cast("long")), "crowded")  # was: the bucket's nodes a round before
     turn = 0
     while left.limit(1).count():
@@ -296,8 +295,8 @@ def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
         own = stored(linked(dealt.select(F.col("key2").alias("key"), "node", *fps)), "round")
         paired = left.filter(~halved).withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         paired = linked(paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", *fps))
-        out = out.unionByName(stored(own.unionByName(paired).filter("a <> b").select("a", "b"), "links"))
-        behind = own.filter("a <> b").select(F.col("key").alias("key2"), F.col("b").alias("node")).distinct()
+        out = out.unionByName(stored(own.unionByName(paired).select("a", "b"), "links"))
+        behind = own.select(F.col("key").alias("key2"), F.col("b").alias("node")).distinct()
         rest = stored(dealt.filter(F.col("n") > BUCKET).join(behind, ["key2", "node"], "left_anti").select("key", "node", *fps, F.col("n").alias("was")), "rest")
         left = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key"), "crowded")
         turn += 1

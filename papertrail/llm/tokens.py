@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from functools import cache
 from itertools import islice
 
+from papertrail.llm.common import kept
+
 #: Words that a Python worker remembers, about 0.2 KB each. At the limit it keeps the quarter it met first, which holds
 #: the frequent ones, so that memory stays bounded.
 CACHED = 600_000
@@ -19,15 +20,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@cache
-def word_encoder(path: str) -> "WordEncoder":
+def word_encoder(path: str) -> WordEncoder:
     """One for each Python worker: the next task goes on with the words of the last."""
-    return WordEncoder(path)
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
-@cache
-def piece_counter(path: str) -> "PieceCounter":
-    return PieceCounter(path)
+def piece_counter(path: str) -> PieceCounter:
+    return kept(("pieces", path), lambda: PieceCounter(path))
 
 
 class WordEncoder:
