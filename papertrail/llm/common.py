@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from papertrail.storage import forget, shared_dir, stored
 
-__all__ = ["fold_case", "forget", "join_groups", "kept", "membership", "over_arrow", "partitions", "shared_dir", "stored", "utf8", "whole_row", "with_suspects", "without", "word_blocks"]
+__all__ = ["at_end", "fold_case", "forget", "join_groups", "kept", "membership", "over_arrow", "partitions", "shared_dir", "stored", "utf8", "whole_row", "with_suspects", "without", "word_blocks"]
 
 T = TypeVar("T")
 
@@ -28,6 +28,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What Python workers call when a task ends, to give memory back.
+at_end: list[Callable[[], None]] = []
+
 #: Rows of an Arrow batch that a task turns into Python objects at once.
 SLICE = 2000
 
@@ -42,6 +45,8 @@ def over_arrow(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         try:
             yield from f(b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE))
         finally:
+            for forgets in at_end:
+                forgets()
             gc.collect()
             pa.default_memory_pool().release_unused()
             if sys.platform == "linux":

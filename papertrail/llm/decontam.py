@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import kept, over_arrow, utf8, word_blocks
+from papertrail.llm.common import at_end, kept, over_arrow, utf8, word_blocks
 
 #: Items that one pass over the documents carries to the executors, and the bytes of their texts at most.
 BLOCK_ITEMS, BLOCK_BYTES = 50_000, 64 << 20
@@ -29,15 +28,13 @@ class _Words(dict):
         return h
 
 
-@cache
-def _word_hashes() -> _Words:
-    return _Words()
+_known = _Words()
+at_end.append(_known.clear)
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     """A 64-bit hash of each run of `width` words."""
-    known = _word_hashes()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

@@ -172,9 +172,25 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def node_of(words: list[np.ndarray]) -> np.ndarray:
+    """What Spark's xxhash64 gives for these columns (unsigned), as signed numbers: XXH64 of eight bytes each, the seed of
+    the first being 42 and of each other the hash before it."""
+    # The primes of XXH64.
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(words[0]), 42, np.uint64)
+    for x in words:
+        h = h + p5 + np.uint64(8)
+        h = turned(h ^ (turned(x * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
 def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node, fp0, fp1, ...) sorted by key: (key, a, b), links that connect the nodes of each key within
-    `radius` with the smallest that they reach, a.
+    """Of rows (key, fp0, fp1, ...) sorted by key: (key, a, b), links that connect the nodes of each key within `radius`
+    with the smallest that they reach, a. A node is the hash of its fingerprint (see node_of).
 
     A spanning set of links leaves, never all pairs. Distances of a key's rows are taken in blocks.
     """
@@ -213,8 +229,8 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
 
     def runs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
         keys = table.column(0).to_numpy()
-        node = table.column(1).to_numpy()
-        fps = np.stack([table.column(k).to_numpy() for k in range(2, table.num_columns)], 1).view(np.uint64)
+        words = [table.column(k).to_numpy().view(np.uint64) for k in range(1, table.num_columns)]
+        node, fps = node_of(words), np.stack(words, 1)
         cuts = np.flatnonzero(np.diff(keys)) + 1
         ends = [*cuts.tolist(), len(keys)] if last else cuts.tolist()
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
@@ -273,8 +289,8 @@ def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
     # a key: the number of the segment above its value
     values = F.array(*(F.lit(k << size).bitwiseOR(_window(k * 64 * words // m, size, words)) for k in range(m)))
     masks = F.lit(ball(size, 1)).cast("array<bigint>")
-    filed = nodes.select(F.explode(values).alias("value"), "node", *fps).select("value", F.explode(masks).alias("mask"), "node", *fps)
-    filed = filed.select(F.col("value").bitwiseXOR(F.col("mask")).alias("key"), "node", *fps)
+    filed = nodes.select(F.explode(values).alias("value"), *fps).select("value", F.explode(masks).alias("mask"), *fps)
+    filed = filed.select(F.col("value").bitwiseXOR(F.col("mask")).alias("key"), *fps)
 
     def linked(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
@@ -289,12 +305,12 @@ def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
     turn = 0
     while left.limit(1).count():
         blocks = F.ceil(F.col("n") / BUCKET)
-        block = F.pmod(F.xxhash64("node", F.lit(turn)), blocks)
+        block = F.pmod(F.xxhash64(*fps, F.lit(turn)), blocks)
         halved = F.coalesce((F.col("n") <= BUCKET) | (2 * F.col("n") <= F.col("was")), F.lit(True))
-        dealt = left.filter(halved).withColumn("key2", F.xxhash64("key", block))
-        own = stored(linked(dealt.select(F.col("key2").alias("key"), "node", *fps)), "round")
+        dealt = left.filter(halved).withColumns({"key2": F.xxhash64("key", block), "node": F.xxhash64(*fps)})
+        own = stored(linked(dealt.select(F.col("key2").alias("key"), *fps)), "round")
         paired = left.filter(~halved).withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        paired = linked(paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", *fps))
+        paired = linked(paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *fps))
         out = out.unionByName(stored(own.unionByName(paired).select("a", "b"), "links"))
         behind = own.select(F.col("key").alias("key2"), F.col("b").alias("node")).distinct()
         rest = stored(dealt.filter(F.col("n") > BUCKET).join(behind, ["key2", "node"], "left_anti").select("key", "node", *fps, F.col("n").alias("was")), "rest")
