@@ -22,7 +22,7 @@ HOT = 256
 #: Documents of one candidate group that a task clusters at once, and the bytes of their texts at most (or one document).
 GROUP_BLOCK, GROUP_BYTES = 1000, 16 << 20
 #: Fingerprints in one bucket that a task compares at once.
-BUCKET = 4096
+BUCKET = 1 << 14
 #: The share of bits in which fingerprints differ at the limit of similarity: the angle between sets of Jaccard 0.8 by pi.
 DIFFER = 0.152
 
@@ -188,9 +188,10 @@ def node_of(words: list[np.ndarray]) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int, roots: bool) -> Iterator[pa.RecordBatch]:
     """Of rows (key, fp0, fp1, ...) sorted by key: (key, a, b), links that connect the nodes of each key within `radius`
-    with the smallest that they reach, a. A node is the hash of its fingerprint (see node_of).
+    with the smallest that they reach, a; with `roots` also a line (key, a, a) for each node that reaches no smaller one.
+    A node is the hash of its fingerprint (see node_of).
 
     A spanning set of links leaves, never all pairs. Distances of a key's rows are taken in blocks.
     """
@@ -236,8 +237,11 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterat
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
         at = 0
         for end in ends:
-            if end - at > 1:
+            if end - at > 1 or roots:
                 a, b = near(node[at:end], fps[at:end])
+                if roots:
+                    own = np.setdiff1d(node[at:end], b).tolist()
+                    a, b = a + own, b + own
                 out[0].extend([int(keys[at])] * len(a))
                 out[1].extend(a)
                 out[2].extend(b)
@@ -292,33 +296,40 @@ def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
     filed = nodes.select(F.explode(values).alias("value"), *fps).select("value", F.explode(masks).alias("mask"), *fps)
     filed = filed.select(F.col("value").bitwiseXOR(F.col("mask")).alias("key"), *fps)
 
-    def linked(rows: DataFrame) -> DataFrame:
-        dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
-        return dealt.mapInArrow(lambda batches: _linked_in_buckets(batches, radius), "key long, a long, b long")
+    def linked(rows: DataFrame, roots: bool = False) -> DataFrame:
+        dealt = rows.select("key", *fps).repartition(partitions(spark), "key").sortWithinPartitions("key")
+        return dealt.mapInArrow(lambda batches: _linked_in_buckets(batches, radius, roots), "key long, a long, b long")
 
-    counts = filed.groupBy("key").agg(F.count("*").alias("n"))
-    hot = stored(counts.filter(F.col("n") > BUCKET).select("key", "n"), "hot")
+    hot = stored(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "hot")
     if hot.limit(1).count() == 0:
-        return linked(filed).select("a", "b")
-    out = stored(linked(filed.join(hot, "key", "left_anti")).select("a", "b"), "links")
-    left = stored(filed.join(hot, "key").withColumn("was", F.lit(None).cast("long")), "crowded")  # was: the bucket's nodes a round before
+        return fewer_links(linked(filed))
+    out = fewer_links(linked(filed.join(hot, "key", "left_anti")))
+    left = filed.join(hot, "key").withColumn("was", F.lit(None).cast("long"))  # was: the bucket's nodes a round before
     turn = 0
-    while left.limit(1).count():
+    while turn == 0 or left.limit(1).count():
         blocks = F.ceil(F.col("n") / BUCKET)
         block = F.pmod(F.xxhash64(*fps, F.lit(turn)), blocks)
         halved = F.coalesce((F.col("n") <= BUCKET) | (2 * F.col("n") <= F.col("was")), F.lit(True))
         dealt = left.filter(halved).withColumns({"key2": F.xxhash64("key", block), "node": F.xxhash64(*fps)})
-        own = stored(linked(dealt.select(F.col("key2").alias("key"), *fps)), "round")
+        own = stored(linked(dealt.select(F.col("key2").alias("key"), *fps), roots=True), "round")
         paired = left.filter(~halved).withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         paired = linked(paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *fps))
-        out = out.unionByName(stored(own.unionByName(paired).select("a", "b"), "links"))
-        behind = own.select(F.col("key").alias("key2"), F.col("b").alias("node")).distinct()
-        rest = stored(dealt.filter(F.col("n") > BUCKET).join(behind, ["key2", "node"], "left_anti").select("key", "node", *fps, F.col("n").alias("was")), "rest")
+        out = out.unionByName(stored(fewer_links(own.unionByName(paired)), "links"))
+        roots = own.filter("a = b").select(F.col("key").alias("key2"), F.col("b").alias("node"))
+        rest = stored(dealt.filter(F.col("n") > BUCKET).join(roots, ["key2", "node"], "left_semi").select("key", *fps, F.col("n").alias("was")), "rest")
         left = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key"), "crowded")
         turn += 1
     return out
 
 
+def fewer_links(links: DataFrame) -> DataFrame:
+    """(a, b): fewer links that connect the same nodes. What several links connect with b is connected with the smallest
+    of them instead; of buckets with much the same nodes, that is much the same link."""
+    ends = links.filter("a <> b").groupBy("b").agg(F.min("a").alias("least"), F.collect_set("a").alias("all"))
+    others = F.transform(F.filter("all", lambda x: x != F.col("least")), lambda x: F.struct(F.col("least").alias("a"), x.alias("b")))
+    return ends.select(F.explode(F.array_append(others, F.struct(F.col("least").alias("a"), F.col("b").alias("b")))).alias("x")).select("x.a", "x.b").distinct()
+
+
 def _shingle_table(texts: DataFrame, width: int) -> DataFrame:
     """(node, size, shingle): the distinct shingles of texts (node, text), a row each."""
 
