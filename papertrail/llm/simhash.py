@@ -21,6 +21,8 @@ SEED = 42
 HOT = 256
 #: Documents of one candidate group that a task clusters at once, and the bytes of their texts at most (or one document).
 GROUP_BLOCK, GROUP_BYTES = 1000, 16 << 20
+#: Documents and shingles of a block, of which two meet in a cell of the last comparison.
+CELL_NODES, CELL_SHINGLES = 1000, 1 << 20
 #: Fingerprints in one bucket that a task compares at once.
 BUCKET = 1 << 14
 #: The share of bits in which fingerprints differ at the limit of similarity: the angle between sets of Jaccard 0.8 by pi.
@@ -330,16 +332,15 @@ def fewer_links(links: DataFrame) -> DataFrame:
     return ends.select(F.explode(F.array_append(others, F.struct(F.col("least").alias("a"), F.col("b").alias("b")))).alias("x")).select("x.a", "x.b").distinct()
 
 
-def _shingle_table(texts: DataFrame, width: int) -> DataFrame:
-    """(node, size, shingle): the distinct shingles of texts (node, text), a row each."""
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the distinct shingles of texts (node, text), in ascending order."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = shingle_set(raw, width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node), pa.int64()), pa.array(np.full(len(own), len(own)), pa.int64()), pa.array(own.view(np.int64))], names=["node", "size", "shingle"])
+            sets = [shingle_set(raw, width).view(np.int64) for raw in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(over_arrow(made), "node long, size long, shingle long")
+    return texts.select("node", "text").mapInArrow(over_arrow(made), "node long, shingles array<long>")
 
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
@@ -354,7 +355,8 @@ def similar_pairs(texts: DataFrame, width: int, least: float) -> DataFrame:
     Exact, by prefix filter: with its shingles in order of their frequency, a set of n shares one of its first
     n - ceil(least * n) + 1 with any set that similar. Common shingles come last, so that pairs meet at rare ones.
     """
-    table = stored(_shingle_table(texts, width), "shingles")
+    sets = stored(_shingle_sets(texts, width), "shingles")
+    table = sets.select("node", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("shingle"))
     often = table.groupBy("shingle").agg(F.count("*").alias("f"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
     ranked = table.join(often, "shingle").withColumn("place", place)
@@ -364,11 +366,27 @@ def similar_pairs(texts: DataFrame, width: int, least: float) -> DataFrame:
     low, high = F.least("size", "size_b"), F.greatest("size", "size_b")
     most = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) + F.least("place", "place_b")  # shingles that they may share
     possible = (F.col("a") < F.col("b")) & (low >= high * least - 1e-9) & (most >= (low + high) * (least / (1 + least)) - 1e-6)
-    pairs = stored(met.filter(possible).select("a", "b", (low + high).alias("both")).distinct(), "pairs")
-    sets = table.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "shingle")
-    shared = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingle").alias("same")), ["b"]).filter("shingle = same")
-    n = shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("both").alias("both"))
-    return n.filter(F.col("n") >= (F.col("both") - F.col("n")) * least - 1e-9).select("a", "b")
+    pairs = stored(met.filter(possible).select("a", "b").distinct(), "pairs")
+    # Pairs are judged in cells: nodes are dealt into blocks of bounded size, and a set goes once to each cell that needs it.
+    sizes = sets.agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s")).first()
+    k = max(1, -(-sizes["n"] // CELL_NODES), -(-(sizes["s"] or 0) // CELL_SHINGLES))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(0)), F.lit(k))
+    cell = F.xxhash64(block("a"), block("b")).alias("cell")
+    needed = pairs.select(cell, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select("cell", "node", "shingles")
+    judged = pairs.select(cell, "a", "b").groupBy("cell").cogroup(needed.groupBy("cell"))
+    return judged.applyInArrow(lambda asked, held: _similar(asked, held, least), "a long, b long")
+
+
+def _similar(asked: pa.Table, held: pa.Table, least: float) -> pa.Table:
+    """Of pairs (cell, a, b), those whose sets (cell, node, shingles) are similar by `least` or more."""
+    nodes = held.column("node").to_pylist()
+    sets = {node: s.values.to_numpy() for node, s in zip(nodes, held.column("shingles"), strict=True)}
+    out = []
+    for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if both >= least * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+            out.append((a, b))
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def independent(pairs: DataFrame) -> DataFrame:

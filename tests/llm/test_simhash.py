@@ -150,7 +150,9 @@ def test_a_large_group_of_leaders_equals_brute_force(spark, monkeypatch, block,
     assert len(left) == n - 40 and all((k in left) != (n - 1 - k in left) for k in range(40))
 
 
-def test_similar_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("cell", [1000, 40])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL_NODES", cell)
     rng = np.random.default_rng(9)
     rows = []
     for i in range(150):
