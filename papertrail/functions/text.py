@@ -75,10 +75,6 @@ def query_terms(text: Column, most: int = 16) -> Column:
 SCRIPTS = {"latin": "Latin", "devanagari": "Devanagari", "telugu": "Telugu", "tamil": "Tamil", "kannada": "Kannada"}
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    return {name: F.length(F.regexp_replace(text, rf"[^\p{{Is{script}}}&&[\p{{L}}\p{{M}}]]|[^\p{{L}}\p{{M}}]|\P{{Is{script}}}", "")) for name, script in SCRIPTS.items()}
-
-
 def scripts(text: Column) -> Column:
     """Scripts with at least 3 letters and 5 % of all letters, by name."""
     n = {name: F.length(F.regexp_replace(text, rf"\P{{Is{script}}}", "")) for name, script in SCRIPTS.items()}
@@ -154,3 +150,16 @@ def tidy_reply(text: Column, speaker: str = "Assistant") -> Column:
     """A reply without its speaker's prefix and the quotes around it."""
     body = F.trim(F.regexp_replace(F.trim(text), f"^{speaker}:", ""))
     return F.trim(F.when(body.rlike(r'^"[\s\S]*"$') & (F.length(body) > 1), F.substring(body, F.lit(2), F.length(body) - 2)).otherwise(body))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Every match of a pattern, as an array of (start, m): its place (from 0) and the text matched."""
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    empty = F.struct(F.array().cast("array<struct<start:int,m:string>>").alias("done"), F.lit(0).alias("at"))
+
+    def onward(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["before"])
+        here = F.struct(start.alias("start"), x["m"].alias("m"))
+        return F.when(x["m"].isNull(), a).otherwise(F.struct(F.array_append(a["done"], here).alias("done"), (start + F.length(x["m"])).alias("at")))
+
+    return F.aggregate(found, empty, onward, lambda a: a["done"])

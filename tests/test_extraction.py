@@ -69,17 +69,29 @@ def test_pick_over_table(spark):
     assert dates.extract(df, TODAY).count() == 2
 
 
-def test_entities():
+def entities_in(spark, text):
+    rows = entities.extract(spark.createDataFrame([(1, text)], "id long, t string"), text=F.col("t")).collect()
+    return sorted(rows, key=lambda r: r["start"])
+
+
+def test_entities(spark):
     text = "ABCDE1234F Rs. 1,23,456.50 total 5000 balance: 700 AP 09 AB 1234 22 BH 1234 AA policy no: AB/12345-X SBIN0001234 x.y1@abdm"
-    got = {(e.kind, e.value) for e in entities.find(text)}
+    got = {(e["kind"], e["value"]) for e in entities_in(spark, text)}
     assert got == {("pan", "ABCDE1234F"), ("amount", "123456.50"), ("amount", "5000"), ("amount", "700"), ("vehicle_no", "AP09AB1234"), ("vehicle_no", "22BH1234AA"), ("policy_no", "AB/12345-X"), ("ifsc", "SBIN0001234"), ("abha", "x.y1@abdm")}
-    kinds = lambda t: [(e.kind, e.masked) for e in entities.find(t)]
+    kinds = lambda t: [(e["kind"], e["masked"]) for e in entities_in(spark, t)]
     assert kinds("2341 2341 2346") == [("aadhaar", "XXXX XXXX 2346")]
     assert kinds("4539578763621486") == [] and kinds("2341 2341 2345") == []
     assert kinds("+91 98765 43210") == [("phone", "XXXXXX3210")] and kinds("12-3456-7890-1234") == [("abha", "XX-XXXX-XXXX-1234")]
     assert kinds("२३४१ २३४१ २३४६") == [("aadhaar", "XXXX XXXX 2346")]
 
 
+def test_places_of_entities(spark):
+    text = "बैलेंस: x policy no: AB/12345-X; total 5000, Rs. 5000 और +91 98765 43210, 2341 2341 2346"
+    assert all(text[e["start"] : e["end"]].replace(" ", "").replace("+91", "") == e["value"] for e in entities_in(spark, text))
+    assert [e["kind"] for e in entities_in(spark, text)] == ["policy_no", "amount", "amount", "phone", "aadhaar"]
+    assert [e["kind"] for e in entities_in(spark, "total Rs 500 total: 900")] == ["amount", "amount"]
+
+
 def test_entity_table(spark):
     df = spark.createDataFrame([(1, "Rs 500 and Rs 90"), (2, None), (3, "")], "id long, t string")
     rows = entities.extract(df, text=F.col("t"))
@@ -99,8 +111,9 @@ OWNER_CASES = [
 
 
 @pytest.mark.parametrize(("text", "kind", "want"), OWNER_CASES)
-def test_owner(text, kind, want):
-    assert owners.owner_in(text, kind) == want
+def test_owner(spark, text, kind, want):
+    df = spark.createDataFrame([(text, kind)], "t string, k string")
+    assert df.select(owners.owner(F.col("t"), F.col("k")).alias("o")).first()["o"] == want
 
 
 def test_owner_relations(spark):
