@@ -6,7 +6,7 @@ from papertrail import dims
 from papertrail.functions.ids import POWERS, PRODUCT
 from papertrail.functions.text import STOP_WORDS
 from papertrail.lexicon import Lexicon
-from papertrail.operators.classify import ALONE, RULES
+from papertrail.operators.classify import RULES
 from papertrail.plans.adapters import CHECKLIST, ORDERS_TODAY, PHOTOS, STATE, TODAY, VAULT
 
 _CATEGORY = "CASE effective_type " + " ".join(f"WHEN '{t.name}' THEN '{t.category}'" for t in dims.DOC_TYPES) + " END"
@@ -17,9 +17,9 @@ def _rule(kind: str, words: str) -> str:
     """A rule's pattern without look-around: what may not stand beside a word is consumed, which finds the same texts."""
     if kind == "w":
         return f"(?i)(^|[^a-z])(?:{words})([^a-z]|$)"
-    for name, alone in ALONE.items():
-        words = words.replace("{" + name + "}", f"(?:^|[^a-z])(?:{alone})(?:[^a-z]|$)")
-    return "(?i)" + words.replace("{left}", "(?:^|[^a-z])").replace("{dose}", "(?:^|[^0-9])[01]-[01]-[01](?:[^0-9]|$)")
+    for beside, consumed in (("(?<![a-z])", "(?:^|[^a-z])"), ("(?![a-z])", "(?:[^a-z]|$)"), (r"(?<!\d)", "(?:^|[^0-9])"), (r"(?!\d)", "(?:[^0-9]|$)")):
+        words = words.replace(beside, consumed)
+    return f"(?i){words}"
 
 
 def _scores() -> str:
