@@ -102,7 +102,6 @@ def owners_distinct(spark, sf):
 @query
 def date_range_filter(spark, sf):
     d = a.vault(spark, sf).filter(vault.dated_within(F.col("effective_date"), a.day("2024-06-01"), a.day("2024-12-31")))
-    start, end = vault.period_millis(a.day("2024-06-01"), a.day("2024-12-31"))
     return d.select("id", "effective_date")
 
 
@@ -265,9 +264,10 @@ def eval_hit_at_3(spark, sf):
     """Nearest vectors' labels against each vector's own: every vector with an id divisible by 20 is a case."""
     v = a.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     cases = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("q"), F.col("label").alias("expected"))
-    pairs = v.crossJoin(F.broadcast(cases.select("case_id", "q"))).filter("vec_id <> case_id")
-    s = pairs.select("case_id", "label", "vec_id", F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("s"))
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("s"), "vec_id"))).select("case_id", "rank", F.col("label").alias("got"))
+    found = search.vector_search(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), cases.select(F.col("case_id").alias("query_id"), F.col("q").alias("vector")), k=4)
+    others = found.filter("doc_id <> query_id")  # a case finds itself first
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    ranked = others.select(F.col("query_id").alias("case_id"), "doc_id", nth.alias("rank")).join(v.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("got")), "doc_id")
     cases = cases.select("case_id", "expected", F.when(F.col("expected") < 5, "a").otherwise("b").alias("lang"))
     return metrics.hit_at(ranked, cases, by=["lang"])
 
@@ -303,7 +303,7 @@ def unfiled_items(spark, sf):
 @query
 def photos_by_category_range(spark, sf):
     start, end = vault.period_millis(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
-    p = a.photos(spark, sf).filter((F.col("category") == "food") & F.col("taken_at").between(1704412800000, 1705795199999))
+    p = a.photos(spark, sf).filter((F.col("category") == "food") & F.col("taken_at").between(start, end))
     return p.select("uri", "taken_at").orderBy(F.desc("taken_at"), "uri").limit(60)
 
 
@@ -517,6 +517,62 @@ def amount_max(spark, sf):
     return entities.largest_amount(entities.extract(a.vault(spark, sf), text=F.col("ocr_text")))
 
 
+def _written(spark, sf):
+    """Orders as texts with identifiers, an amount, an account of health and a telephone number."""
+    k = F.col("o_orderkey")
+    text = F.format_string("PAN ABCDE%04dF, total amount: %d.50 or Rs. %d\npolicy no: AB/%06d-X IFSC SBIN0%06d uid 2341 2341 %04d\nAP 09 AB %04d, call +91 9%04d %05d, mail u%06d@abdm", k % 10000, 1000 + k, 500 + k % 7, k % 1000000, k % 1000000, 2340 + k % 10, k % 10000, k % 10000, k % 100000, k % 1000000)
+    return a.table(spark, sf, "orders").select(k.alias("id"), text.alias("t"))
+
+
+@query
+def entities_of_orders(spark, sf):
+    return entities.extract(_written(spark, sf), text=F.col("t")).select("id", "kind", "value", "masked")
+
+
+@query
+def amount_max_of_orders(spark, sf):
+    return entities.largest_amount(entities.extract(_written(spark, sf), text=F.col("t")))
+
+
+@query
+def phones_of_orders(spark, sf):
+    return _written(spark, sf).select("id", F.explode(entities.phones(F.col("t"))).alias("phone"))
+
+
+@query
+def masked_orders(spark, sf):
+    return _written(spark, sf).select("id", ids.mask_aadhaar_in(F.col("t")).alias("text"))
+
+
+def _dated(spark, sf):
+    """Orders as policies in five ways of writing dates, with foreign digits in one."""
+    k, on = F.col("o_orderkey"), F.to_date("o_orderdate")
+    until = F.add_months(on, 480)
+    foreign = F.translate(F.date_format(on, "dd/MM/yyyy"), "0123456789", "०१२३४५६७८९")
+    way = F.when(k % 4 == 0, F.date_format(on, "dd/MM/yyyy")).when(k % 4 == 1, F.date_format(on, "d MMMM yyyy")).when(k % 4 == 2, F.date_format(on, "yyyy-MM-dd")).otherwise(foreign)
+    text = F.concat(F.lit("Policy document\nDate of issue: "), way, F.lit("\nsum insured 500\nvalid till "), F.date_format(until, "dd-MM-yyyy"), F.lit("\nthank you"))
+    return a.table(spark, sf, "orders").select(k.alias("id"), F.lit("HEALTH_INSURANCE").alias("doc_type"), text.alias("text"))
+
+
+@query
+def dates_of_orders(spark, sf):
+    return dates.extract(_dated(spark, sf), TODAY).select("id", "line", "date", "precision")
+
+
+@query
+def expiry_of_orders(spark, sf):
+    return dates.pick(_dated(spark, sf), TODAY).select("id", "expiry_on", "expiry_source", "issued_on")
+
+
+@query
+def owners_of_customers(spark, sf):
+    """Labelled names, somebody else's names, names in addresses: the owner, or null."""
+    c = a.table(spark, sf, "customer").join(a.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    head = F.element_at(F.lit(["Employee Name: MR. ", "Father's Name: ", "Name\n", "Address: near\nInsured name - "]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("Pay slip\n"), head, F.translate(F.lower("n_name"), "_0123456789", " abcdefghij"), F.lit(" dob 1\nNet pay 5"))
+    return c.select("c_custkey", owners.owner(text, F.lit("SALARY_SLIP")).alias("owner"))
+
+
 @query
 def verhoeff_valid(spark, sf):
     n = F.lpad(F.col("l_orderkey").cast("string"), 8, "7")

@@ -241,6 +241,30 @@ ORACLES: dict[str, str] = {
         CASE WHEN conv_id % 5 < 4 THEN DATE '2025-01-01' END AS date_from, CASE WHEN conv_id % 5 < 4 THEN DATE '2025-02-01' END AS date_to, conv_id % 5 = 4 AS retry FROM conversations WHERE role = 'user'""",
 }
 
+_KEYED = "WITH o AS (SELECT o_orderkey AS id, o_orderkey AS k, o_orderdate::DATE AS d FROM orders) "
+_UNTIL = "(d + INTERVAL 480 MONTH)::DATE"
+ORACLES |= {
+    "entities_of_orders": _KEYED + """, e AS (SELECT id, unnest([
+        {'kind': 'pan', 'value': printf('ABCDE%04dF', k % 10000), 'masked': printf('XXXXXX%03dF', k % 1000)},
+        {'kind': 'amount', 'value': printf('%d.50', 1000 + k), 'masked': printf('%d.50', 1000 + k)},
+        {'kind': 'amount', 'value': printf('%d', 500 + k % 7), 'masked': printf('%d', 500 + k % 7)},
+        {'kind': 'policy_no', 'value': printf('AB/%06d-X', k % 1000000), 'masked': printf('AB/%06d-X', k % 1000000)},
+        {'kind': 'ifsc', 'value': printf('SBIN0%06d', k % 1000000), 'masked': printf('SBIN0%06d', k % 1000000)},
+        CASE WHEN k % 10 = 6 THEN {'kind': 'aadhaar', 'value': '234123412346', 'masked': 'XXXX XXXX 2346'} END,
+        {'kind': 'vehicle_no', 'value': printf('AP09AB%04d', k % 10000), 'masked': printf('AP09AB%04d', k % 10000)},
+        {'kind': 'phone', 'value': printf('9%04d%05d', k % 10000, k % 100000), 'masked': printf('XXXXXX%04d', k % 10000)},
+        {'kind': 'abha', 'value': printf('u%06d@abdm', k % 1000000), 'masked': printf('u%06d@abdm', k % 1000000)}]) AS e FROM o)
+        SELECT id, e.kind AS kind, e.value AS value, e.masked AS masked FROM e WHERE e IS NOT NULL""",
+    "amount_max_of_orders": _KEYED + "SELECT id, printf('%d.50', 1000 + k) AS amount FROM o",
+    "phones_of_orders": _KEYED + "SELECT id, printf('9%04d%05d', k % 10000, k % 100000) AS phone FROM o",
+    "masked_orders": _KEYED + """SELECT id, printf('PAN ABCDE%04dF, total amount: %d.50 or Rs. %d', k % 10000, 1000 + k, 500 + k % 7) || chr(10) || printf('policy no: AB/%06d-X IFSC SBIN0%06d uid ', k % 1000000, k % 1000000)
+        || CASE WHEN k % 10 = 6 THEN 'XXXX XXXX 2346' ELSE printf('2341 2341 %04d', 2340 + k % 10) END || chr(10) || printf('AP 09 AB %04d, call +91 9%04d %05d, mail u%06d@abdm', k % 10000, k % 10000, k % 100000, k % 1000000) AS text FROM o""",
+    "dates_of_orders": _KEYED + f"SELECT id, 1 AS line, d AS date, 'day' AS precision FROM o UNION ALL SELECT id, 3, {_UNTIL}, 'day' FROM o",
+    "expiry_of_orders": _KEYED + f"SELECT id, {_UNTIL} AS expiry_on, 'rule' AS expiry_source, d AS issued_on FROM o",
+    "owners_of_customers": """SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 2) THEN array_to_string(list_transform(string_split(translate(lower(n_name), '_0123456789', ' abcdefghij'), ' '), lambda x: upper(x[1]) || x[2:]), ' ') END AS owner
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+}
+
 #: Dates are compared as ISO text.
 DATES = {
     "docs_newest_first": ["captured_at"],
@@ -251,6 +275,8 @@ DATES = {
     "doc_summaries": ["effective_date", "expiry_on"],
     "date_range_filter": ["effective_date"],
     "reminders": ["fire_on"],
+    "dates_of_orders": ["date"],
+    "expiry_of_orders": ["expiry_on", "issued_on"],
     "validated_replies": ["date_from", "date_to"],
 }
 for _name, _columns in DATES.items():
