@@ -109,9 +109,9 @@ def pieces(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int, int]
     return full, items
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 1, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 1, capacity: int = 2048, with_ids: bool = True, lean: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids (as
-    little-endian unsigned 32-bit numbers) if asked for.
+    little-endian unsigned 32-bit numbers) if asked for. With `lean`, tasks spend some time to hold less memory.
 
     Every text is encoded whole and gets `end`; each of its ids lies in exactly one piece. Documents of a capacity or
     more give full windows; what remains is packed by Karmarkar-Karp multiway differencing in blocks of at most 1,500
@@ -165,5 +165,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else [])
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    out = rows.mapInArrow(over_arrow(packed), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+    out = rows.mapInArrow(over_arrow(packed, lean), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)
