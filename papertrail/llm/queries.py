@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from papertrail.llm import langid, lattice
 from papertrail.llm.decontam import contained_items
 from papertrail.llm.exact_dedup import exact_groups
+from papertrail.llm.filter_audit import interactions
 from papertrail.llm.html import extract
 from papertrail.llm.packing import pack
 from papertrail.llm.pii import replace_private
@@ -74,13 +75,17 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_private(table(spark, sf_dir, "documents"), key=key)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_neardup, op2_token_counts, op3_language_id, op4_decontamination, op5_exact_dedup, op6_token_ids, op7_lm_score, op8_html_extraction, op9_packing, op10_pii_surrogates]
+    own = [op1_simhash_neardup, op2_token_counts, op3_language_id, op4_decontamination, op5_exact_dedup, op6_token_ids, op7_lm_score, op8_html_extraction, op9_packing, op10_pii_surrogates, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": DECONTAMINATION, "op5_exact_dedup": EXACT_DEDUP}
+    return {"op4_decontamination": DECONTAMINATION, "op5_exact_dedup": EXACT_DEDUP, "op13_filter_audit": FILTER_AUDIT}
 
 
 DECONTAMINATION = """
@@ -106,3 +111,31 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
+
+FILTER_AUDIT = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), f AS (
+  SELECT part, coalesce(q, false) AS good, coalesce(x, false) AS toxic, list_value(
+      len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+      doc_id > min(doc_id) OVER (PARTITION BY t)) AS fails
+  FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS q, bool_or(toxic = 1) AS x FROM labels GROUP BY doc_id) USING (doc_id)
+), letter AS (
+  SELECT unnest(range(1, 6)) AS i
+), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o, list_aggregate([substr('ABCDE', x, 1) FOR x IN [a.i, b.i, c.i, d.i, e.i]], 'string_agg', '') AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), fate AS (
+  SELECT part, good, toxic, fails, o, filter_order, list_position([fails[x] FOR x IN o], true) AS gone FROM f, orders
+), step AS (
+  SELECT part, filter_order, s AS step, o[s] AS i,
+         count(*) FILTER (gone IS NULL OR gone = 0 OR gone > s) AS kept, count(*) FILTER (gone = s) AS removed,
+         count(*) FILTER (fails[o[s]] AND gone < s) AS redundant,
+         count(*) FILTER (fails[o[s]] AND len([x FOR x IN fails IF x]) = 1) AS unique_fails,
+         count(*) FILTER (gone = s AND good) AS good_lost, count(*) FILTER (gone = s AND toxic) AS toxic_lost
+  FROM fate, (SELECT unnest(range(1, 6)) AS s) GROUP BY part, filter_order, o, s
+)
+SELECT part, filter_order, step::INT AS step, substr('ABCDE', i, 1) AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley
+FROM step
+"""
