@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrail.llm import langid, lattice
+from papertrail.llm import langid, lattice, quality
 from papertrail.llm.decontam import contained_items
 from papertrail.llm.exact_dedup import exact_groups
 from papertrail.llm.filter_audit import interactions
 from papertrail.llm.html import extract
+from papertrail.llm.negatives import hard_negatives
 from papertrail.llm.packing import pack
 from papertrail.llm.pii import replace_private
 from papertrail.llm.simhash import simhash_components
@@ -75,17 +76,29 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_private(table(spark, sf_dir, "documents"), key=key)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality.fit(docs, labels.filter(fold("doc_id", 5) != 0))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return quality.score(docs, machine, extra={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=label, anchor=F.col("vec_id") % 100 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_neardup, op2_token_counts, op3_language_id, op4_decontamination, op5_exact_dedup, op6_token_ids, op7_lm_score, op8_html_extraction, op9_packing, op10_pii_surrogates, op13_filter_audit]
+    own = [op1_simhash_neardup, op2_token_counts, op3_language_id, op4_decontamination, op5_exact_dedup, op6_token_ids, op7_lm_score, op8_html_extraction, op9_packing, op10_pii_surrogates, op11_quality_classifier, op12_hard_negatives, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": DECONTAMINATION, "op5_exact_dedup": EXACT_DEDUP, "op13_filter_audit": FILTER_AUDIT}
+    return {"op4_decontamination": DECONTAMINATION, "op5_exact_dedup": EXACT_DEDUP, "op12_hard_negatives": HARD_NEGATIVES, "op13_filter_audit": FILTER_AUDIT}
 
 
 DECONTAMINATION = """
@@ -112,6 +125,23 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_sum([a.x[i] * b.x[i] FOR i IN range(1, len(a.x) + 1)])::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 FILTER_AUDIT = """
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
