@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import functools
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papertrail import dims
@@ -16,28 +14,17 @@ from papertrail.lexicon import Lexicon
 from papertrail.operators import answers, checklist, chunks, classify, dates, dedup, entities, intents, metrics, owners, search, vault
 from papertrail.operators import photos as photo_ops
 from papertrail.plans import adapters as a
+from papertrail.plans import extraction, messages, pages  # noqa: F401  (they register their queries)
+from papertrail.plans.registry import ORACLES as MORE
+from papertrail.plans.registry import QUERIES, Query, query
 from papertrail.plans.sql import ORACLES
 from papertrail.sources import readers
 from papertrail.storage import shared_dir, spread, stored
 from papertrail.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
 TODAY = dt.date.fromisoformat(a.TODAY)
 
 
-def query(f: Query) -> Query:
-    """Register a query; its dates come out as ISO text."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = f(spark, sf_dir)
-        return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
-
-    _QUERIES[f.__name__] = run
-    return run
-
-
 # ---- documents: scans, filters, projections, order
 
 @query
@@ -405,6 +392,18 @@ def near_dup_vector(spark, sf):
     return dedup.similar_vectors(v, least=0.35).withColumn("cosine", F.round("cosine", 6))
 
 
+@query
+def near_duplicates(spark, sf):
+    """The cascade: close vectors, then words, then the best earlier match. Documents that begin alike get nearly one vector."""
+    e = a.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    begin = sum((F.ascii(F.substring("text", k, 1)) * (31 * k * k + 7) for k in range(1, 9)), F.lit(0))
+    d = a.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", (begin % F.lit(e.count())).alias("vec_id")).join(e, "vec_id")
+    bent = F.transform("embedding", lambda x, i: x.cast("double") + ((F.col("id") + i) % 3 - 1) * 0.025)
+    d = d.withColumn("bent", bent).withColumn("norm", F.sqrt(F.aggregate("bent", F.lit(0.0), lambda s, x: s + x * x)))
+    found = dedup.near_duplicates(d.select("id", "text", F.transform("bent", lambda x: x / F.col("norm")).alias("vector")))
+    return found.select("id", "dup_of", F.round("cosine", 6).alias("cosine"))
+
+
 # ---- search
 
 def _queries(spark, sf):
@@ -744,8 +743,8 @@ def stream_ingest_counts(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | MORE

@@ -193,6 +193,12 @@ ORACLES: dict[str, str] = {
         SELECT a, b, round(k / (total - k), 9) AS similarity FROM c WHERE k / (total - k) >= 0.8""",
     "near_dup_classes": f"WITH s AS (SELECT doc_id AS id, list_sort({_WORDS.format('text')}) AS w FROM documents) SELECT id, min(id) OVER (PARTITION BY w) AS class_id FROM s",
     "near_dup_vector": f"SELECT * FROM (SELECT p.vec_id AS a, q.vec_id AS b, round({_DOT.format('p.embedding', 'q.embedding')}, 6) AS cosine FROM embeddings p JOIN embeddings q ON p.vec_id < q.vec_id) WHERE cosine >= 0.35",
+    "near_duplicates": f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
+        d AS (SELECT doc_id AS id, text, ({" + ".join(f"coalesce(ascii(substr(text, {k}, 1)), 0) * {31 * k * k + 7}" for k in range(1, 9))}) % n AS vec_id FROM documents, n),
+        b AS (SELECT id, {_WORDS.format("text")} AS w, list_transform(embedding, lambda x, i: x::DOUBLE + ((id + i - 1) % 3 - 1) * 0.025::DOUBLE) AS v FROM d JOIN embeddings USING (vec_id)),
+        u AS (SELECT id, w, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM b),
+        p AS (SELECT q.id, o.id AS dup_of, {_DOT.format("o.v", "q.v")} AS cosine, len(list_intersect(o.w, q.w)) AS k, len(o.w) + len(q.w) AS t FROM u o JOIN u q ON o.id < q.id)
+        SELECT id, dup_of, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, dup_of) AS r FROM p WHERE cosine >= 0.95 AND (t = 0 OR k / (t - k) >= 0.8)) WHERE r = 1""",
     "keyword_hits": VAULT + ", " + _TERMS + ", n AS (SELECT query_id, doc_id, count(DISTINCT chunk_id) AS hits FROM hit GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM n) SELECT query_id, count(*) AS docs, sum(hits)::BIGINT AS hits FROM r WHERE rank <= 50 GROUP BY query_id",
     "keyword_bm25": VAULT + ", " + _TERMS + _BM25 + _ranked(10, "best") + "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM best",
     "vector_topk": f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id // 2 AS doc_id, max({_DOT.format("embedding", "e")}) AS score FROM embeddings, q GROUP BY ALL)

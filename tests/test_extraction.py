@@ -38,28 +38,53 @@ def test_ambiguity():
     assert a.ambiguous and not a.month_first and b.month_first and not b.ambiguous
 
 
-def expiry(text, kind):
-    lines = text.split("\n")
-    return dates.pick_expiry(lines, dates.dates_of(lines, TODAY), kind)
-
-
-def test_expiry():
-    assert expiry("Policy period 01/04/2025 to 31/03/2026", "HEALTH_INSURANCE").picked == dt.date(2026, 3, 31)
-    assert expiry("Date of issue 01/04/2015 valid till 31/03/2035", "PASSPORT").picked == dt.date(2035, 3, 31)
-    assert expiry("Due date\n15/10/2026", "UTILITY_BILL").picked == dt.date(2026, 10, 15)
-    assert expiry("Valid till 01/01/2027", "SALARY_SLIP") == dates.Expiry(None, [])
-    two = expiry("valid till 01/01/2027\nrenewal 02/02/2025", "WARRANTY")
-    assert two.picked is None and dates.fallback_expiry(two.candidates, TODAY) == dt.date(2027, 1, 1)
-    assert [ok for _, ok in expiry("01/01/2027", "WARRANTY").candidates] == [False]
-    assert expiry("01/04/2025 to 31/03/2026", None).picked is None
-
-
-def test_issue_date():
-    lines = "Salary for the month of\nJune 2026\nprinted 05/07/2026".split("\n")
-    assert dates.pick_issued(lines, dates.dates_of(lines, TODAY), "SALARY_SLIP", None, TODAY) == dt.date(2026, 6, 1)
-    lines = ["01/01/2020 and 01/01/2030"]
-    assert dates.pick_issued(lines, dates.dates_of(lines, TODAY), "PAN", None, TODAY) == dt.date(2020, 1, 1)
-    assert dates.pick_issued([], [], "PAN", None, TODAY) is None
+EXPIRIES = [
+    ("Policy period 01/04/2025 to 31/03/2026", "HEALTH_INSURANCE", "2026-03-31", "rule", []),
+    ("Date of issue 01/04/2015 valid till 31/03/2035", "PASSPORT", "2035-03-31", "rule", []),
+    ("Due date\n15/10/2026", "UTILITY_BILL", "2026-10-15", "rule", []),
+    ("15/10/2026\nlast date", "UTILITY_BILL", "2026-10-15", "rule", []),
+    ("Due date 01/01/2026\n15/10/2026", "UTILITY_BILL", "2026-01-01", "rule", []),
+    ("Date of issue\n15/10/2026", "UTILITY_BILL", None, None, ["2026-10-15"]),
+    ("Valid till 01/01/2027", "SALARY_SLIP", None, None, []),
+    ("valid till 01/01/2027\nrenewal 02/02/2025", "WARRANTY", "2027-01-01", "fallback", ["2027-01-01", "2025-02-02"]),
+    ("valid till 01/01/2020\nrenewal 02/02/2025", "WARRANTY", "2025-02-02", "fallback", ["2020-01-01", "2025-02-02"]),
+    ("valid till 01/01/2027 or 01/01/2028", "WARRANTY", "2027-01-01", "rule", []),
+    ("01/01/2027", "WARRANTY", None, None, ["2027-01-01"]),
+    ("01/04/2025 to 31/03/2026", None, None, None, []),
+    ("Cover\n01/04/2025 to 31/03/2026", None, "2026-03-31", "rule", []),
+    ("01/04/2025 - 31/03/2026", "RENT_AGREEMENT", "2026-03-31", "rule", []),
+    ("31/03/2026 - 01/04/2025", "RENT_AGREEMENT", None, None, ["2026-03-31", "2025-04-01"]),
+    ("01/01/2025 to 01/02/2025 to 01/03/2025", "RENT_AGREEMENT", "2025-03-01", "rule", []),
+    ("exp. Mar 2027", "PASSPORT", "2027-03-31", "rule", []),
+    ("expert 01/01/2027", "PASSPORT", None, None, ["2027-01-01"]),
+    ("वैधता 31/03/2027", "PASSPORT", "2027-03-31", "rule", []),
+    ("गाड़ी ३१/०३/२०२७ तक वैध", "PASSPORT", None, None, ["2027-03-31"]),
+    ("గడువు 31/03/2027", "PASSPORT", "2027-03-31", "rule", []),
+]
+
+
+def test_expiry(spark):
+    df = spark.createDataFrame([(n, kind, text) for n, (text, kind, *_) in enumerate(EXPIRIES)], "id long, doc_type string, text string").repartition(3)
+    iso = lambda d: d and d.isoformat()
+    got = {r["id"]: (iso(r["expiry_on"]), r["expiry_source"], [iso(d) for d in r["candidates"]]) for r in dates.pick(df, TODAY).collect()}
+    for n, (text, kind, *want) in enumerate(EXPIRIES):
+        assert got[n] == tuple(want), (text, kind)
+
+
+def test_issue_date(spark):
+    texts = [
+        ("Salary for the month of\nJune 2026\nprinted 05/07/2026", "SALARY_SLIP", dt.date(2026, 6, 1)),
+        ("June 2026\nprinted 05/07/2026", "SALARY_SLIP", dt.date(2026, 6, 1)),
+        ("June 2026\nprinted 05/07/2026", "PAN", dt.date(2026, 7, 5)),
+        ("01/01/2020 and 01/01/2030", "PAN", dt.date(2020, 1, 1)),
+        ("dated 01/01/2019, again 01/01/2021", "PAN", dt.date(2021, 1, 1)),
+        ("valid till 01/01/2025 of 01/01/2020", "WARRANTY", dt.date(2020, 1, 1)),
+        ("", "PAN", None),
+        (None, "PAN", None),
+    ]
+    df = spark.createDataFrame([(n, kind, text) for n, (text, kind, _) in enumerate(texts)], "id long, doc_type string, text string")
+    got = {r["id"]: r["issued_on"] for r in dates.pick(df, TODAY).collect()}
+    assert [got[n] for n in range(len(texts))] == [want for *_, want in texts]
 
 
 def test_pick_over_table(spark):
