@@ -27,7 +27,7 @@ NUMBERS = {
     "PHONE": rf"{_THOUSANDS.replace('([ .])', '(?<u>[ .])').replace(chr(92) + '1', chr(92) + 'k<u>')}{_YEARS}(?:{_PHONE})",
     "DIGITS": rf"{_BEFORE}\d(?:[ -]?\d){{12,18}}{_AFTER}",
 }
-EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*+@{_LABEL}(?:\.{_LABEL})+"
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*+@{_LABEL}(?:\.{_LABEL})++"
 FEMALE = "Mrs|Ms|Miss|Madam|Lady|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Signora|Signorina|Г-жа|Госпожа"
 MALE = "Mr|Sir|Lord|Herrn|Herr|Monsieur|Señor|Sr|Don|Signor|Г-н|Господин"
 EITHER = "Dr|Prof|Doctor|Doktor|Professor|Доктор|Профессор"
@@ -35,7 +35,9 @@ _TITLE = rf"(?:{FEMALE}|{MALE}|{EITHER})\.?"
 _NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:\p{Lu}\p{Ll}++)*+(?:-\p{Lu}\p{Ll}++)*+(?![\p{L}\p{N}])"
 _INITIAL = r"\p{Lu}\."
 _PARTICLE = "van|von|de|del|della|di|da|la|le|der|den|el|bin|al|dos|du|ter|zu|y"
-PERSON = rf"{_EDGE}(?=[A-ZГПД])(?:{_TITLE} )+(?:{_INITIAL} )*(?:(?:{_PARTICLE}) ){{0,3}}{_NAME}(?: (?:(?:(?:{_PARTICLE}) ){{0,3}}{_NAME}|{_INITIAL}))*"
+#: Repeats of unknown number are possessive, since others take a step of the stack each: no text may be too long. Of a run of
+#: titles the last eight count.
+PERSON = rf"{_EDGE}(?=[A-ZГПД])(?:{_TITLE} ){{1,8}}(?:{_INITIAL} )*+(?:(?:{_PARTICLE}) ){{0,3}}{_NAME}(?: (?:(?:(?:{_PARTICLE}) ){{0,3}}{_NAME}|{_INITIAL}))*+"
 #: Words that may be a further mention of a person.
 WORD = rf"{_EDGE}(?=\p{{Lu}})(?:{_NAME}|\p{{Lu}}{{2,}}+(?:-\p{{Lu}}++)*+{_STOP})"
 KINDS = {"EMAIL": EMAIL, **NUMBERS, "PERSON": PERSON}
@@ -124,10 +126,16 @@ def _person(m: Column) -> Column:
     """Units of a titled person: a name for each word that is one, the last being the surname; all else as it is."""
     words = F.split(m, " ")
     is_name = lambda w: w.rlike(rf"^{_NAME}$") & ~w.rlike(rf"^{_TITLE}$")
-    titled = lambda which: m.rlike(rf"^(?:{_TITLE} )*(?:{which})\.? ")
+    titled = lambda which: m.rlike(rf"^(?:{_TITLE} ){{0,8}}(?:{which})\.? ")
     given = F.when(titled(FEMALE), F.lit("GIVEN_F")).when(titled(MALE), F.lit("GIVEN_M")).otherwise(F.lit("GIVEN_N"))
-    own = lambda w, i: F.when(~is_name(w), _as_is(w)).otherwise(_unit(F.when(F.exists(F.slice(words, i + 2, F.size(words)), is_name), given).otherwise(F.lit("SURNAME")), F.lower(w), w))
-    return F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(own(w, i))).otherwise(F.array(_as_is(F.lit(" ")), own(w, i)))))
+    named = F.transform(words, is_name)
+
+    def units(p: Column) -> Column:
+        own = lambda w, i: F.when(~p["named"][i], _as_is(w)).otherwise(_unit(F.when(i < p["surname"], p["given"]).otherwise(F.lit("SURNAME")), F.lower(w), w))
+        return F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(own(w, i))).otherwise(F.array(_as_is(F.lit(" ")), own(w, i)))))
+
+    surname = lambda n: F.size(n) - F.array_position(F.reverse(n), F.lit(True)).cast("int")  # noqa: E731  the last name's place
+    return _bound(_bound(named, lambda n: F.struct(n.alias("named"), surname(n).alias("surname"), given.alias("given"))), units)
 
 
 def _units(m: Column, persons: bool) -> Column:
@@ -177,19 +185,23 @@ def permuted(values: Column, sizes: Column, tweak: Column, key: str) -> Column:
     Tuples go through the network, then one step on at the first place, then back: a cycle conjugated by a permutation
     has no fixed points. Since it maps the whole range of a format onto itself, it never runs out of values.
     """
-    n = F.size(values)
-    half = F.floor(n / 2).cast("int")
 
-    def step(v: Column, r: Column) -> Column:
-        odd = F.abs(r) % 2
-        source = F.when(odd == 1, F.slice(v, half + 1, n)).otherwise(F.slice(v, 1, half))
-        hashed = F.sha2(F.concat_ws("\x1f", F.lit(key), tweak, F.abs(r).cast("string"), F.array_join(source.cast("array<string>"), ",")), 256)
-        mine = lambda i: (i < half) == (odd == 1)
-        moved = lambda h: F.transform(v, lambda x, i: F.when(mine(i), F.pmod(x + F.signum(r).cast("int") * F.pmod(F.xxhash64(h, i), sizes[i]), sizes[i]).cast("int")).otherwise(x))
-        onward = F.transform(v, lambda x, i: F.when(i == 0, F.pmod(x + 1, sizes[0])).otherwise(x))
-        return F.when(r == 0, onward).otherwise(_bound(hashed, moved))
+    def run(c: Column) -> Column:
+        def step(v: Column, r: Column) -> Column:
+            odd = F.abs(r) % 2
+            source = F.when(odd == 1, F.slice(v, c["half"] + 1, c["n"])).otherwise(F.slice(v, 1, c["half"]))
+            hashed = F.sha2(F.concat_ws("\x1f", F.lit(key), c["tweak"], F.abs(r).cast("string"), F.array_join(source.cast("array<string>"), ",")), 256)
+            mine = lambda i: (i < c["half"]) == (odd == 1)
+            moved = lambda h: F.transform(v, lambda x, i: F.when(mine(i), F.pmod(x + F.signum(r).cast("int") * F.pmod(F.xxhash64(h, i), c["sizes"][i]), c["sizes"][i]).cast("int")).otherwise(x))
+            onward = F.transform(v, lambda x, i: F.when(i == 0, F.pmod(x + 1, c["sizes"][0])).otherwise(x))
+            return F.when(r == 0, onward).otherwise(_bound(hashed, moved))
+
+        return F.aggregate(F.lit([*range(1, ROUNDS + 1), 0, *range(-ROUNDS, 0)]), c["values"], step)
 
-    return F.aggregate(F.lit([*range(1, ROUNDS + 1), 0, *range(-ROUNDS, 0)]), values, step)
+    # what each place needs is worked out once for all places
+    both = F.struct(values.alias("values"), sizes.alias("sizes"), tweak.alias("tweak"))
+    halved = lambda b: F.struct(b["values"].alias("values"), b["sizes"].alias("sizes"), b["tweak"].alias("tweak"), F.size(b["values"]).alias("n"), F.floor(F.size(b["values"]) / 2).cast("int").alias("half"))
+    return _bound(_bound(both, halved), run)
 
 
 def enciphered(kind: Column, canon: Column, key: str) -> Column:
@@ -203,10 +215,12 @@ def enciphered(kind: Column, canon: Column, key: str) -> Column:
         values, sizes = F.transform(free, lambda c: c["value"]), F.transform(free, lambda c: c["size"])
         pattern = F.array_join(F.transform(cells, lambda c: F.when(c["size"] == 1, c["text"]).otherwise(F.concat(c["first"].cast("string"), F.lit("+"), c["size"].cast("string")))), " ")
         new = F.when(F.size(free) == 0, values).otherwise(permuted(values, sizes, F.concat_ws(" ", kind, pattern), key))
-        number = F.aggregate(cells, F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")), lambda a, c: F.struct(F.array_append(a["at"], a["n"]).alias("at"), (a["n"] + F.when(c["size"] > 1, 1).otherwise(0)).alias("n")), lambda a: a["at"])
         char = lambda cp: F.when(cp < 128, F.char(cp)).otherwise(F.decode(F.unhex(F.lpad(F.hex(cp), 4, "0")), "UTF-16BE"))
-        shown = lambda c, x: F.when(c["size"] == 1, c["text"]).when(kind == "IP", F.when((F.length(c["text"]) == 2) & c["text"].startswith("0"), F.lpad(x.cast("string"), 2, "0")).otherwise((c["first"] + x).cast("string"))).when(kind == "SECRET", F.lower(F.hex(x))).otherwise(char(c["first"] + x))
-        joined = _bound(new, lambda v: _bound(number, lambda at: F.transform(cells, lambda c, i: shown(c, F.get(v, at[i])))))
+        shown = lambda c, x: F.when(kind == "IP", F.when((F.length(c["text"]) == 2) & c["text"].startswith("0"), F.lpad(x.cast("string"), 2, "0")).otherwise((c["first"] + x).cast("string"))).when(kind == "SECRET", F.lower(F.hex(x))).otherwise(char(c["first"] + x))
+        placed = F.transform(cells, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+        moved = lambda v: F.zip_with(F.filter(placed, lambda p: p["c"]["size"] > 1), v, lambda p, x: F.struct(p["i"].alias("i"), shown(p["c"], x).alias("text")))
+        stays = F.transform(F.filter(placed, lambda p: p["c"]["size"] == 1), lambda p: F.struct(p["i"].alias("i"), p["c"]["text"].alias("text")))
+        joined = F.transform(F.array_sort(F.concat(stays, _bound(new, moved))), lambda p: p["text"])
         return F.when(kind == "IP", F.array_join(joined, ".")).otherwise(F.array_join(joined, ""))
 
     def checked(s: Column) -> Column:
@@ -260,13 +274,8 @@ def _name(kind: Column, canon: Column, turn: int, length: int, key: str) -> Colu
 
 def _formatted(kind: Column, surface: Column, surrogate: Column) -> Column:
     """A surrogate in the writing of the surface: its characters in turn where the surface has letters or digits."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-
-    def step(a: Column, c: Column) -> Column:
-        here = c.rlike(r"^[\p{L}\p{N}]$")
-        return F.struct(F.concat(a["out"], F.when(here, F.substring(surrogate, a["n"] + 1, F.lit(1))).otherwise(c)).alias("out"), F.when(here, a["n"] + 1).otherwise(a["n"]).alias("n"))
-
-    spelled = F.aggregate(F.split(surface, ""), start, step, lambda a: a["out"])
+    between = F.split(surface, r"[\p{L}\p{N}]", -1)  # one more than it has letters and digits
+    spelled = F.array_join(F.zip_with(between, F.slice(F.split(surrogate, ""), 1, F.size(between) - 1), lambda b, c: F.concat(b, F.coalesce(c, F.lit("")))), "")
     shouted = (F.upper(surface) == surface) & (F.lower(surface) != surface)
     whole = F.when(shouted, F.upper(surrogate)).when(kind.isin(*ENDINGS), F.initcap(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("EMAIL", "IP", "SECRET", *ENDINGS), whole).otherwise(spelled)
@@ -324,7 +333,7 @@ def replace_private(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_c
     if persons.limit(1).count() == 0:
         return others.withColumnsRenamed({"id": id_col, "text": text_col})
     people = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(PERSON), F.lit(0)), _person))
-    spots = persons.select("row", "text", F.explode(F.array_distinct(F.filter(people, lambda u: u["kind"].isNotNull()))).alias("u"))
+    spots = persons.select("row", F.regexp_replace("text", _ANY, " ").alias("text"), F.explode(F.array_distinct(F.filter(people, lambda u: u["kind"].isNotNull()))).alias("u"))
     common = F.rlike("text", F.concat(F.lit(_EDGE), F.col("u.canon"), F.lit(_STOP)))
     spots = stored(spots.select("row", "u.kind", "u.canon", (~common).alias("mentioned")).distinct(), "spots")
     given = name_surrogates(spots.select("kind", "canon").distinct(), key)

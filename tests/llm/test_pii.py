@@ -5,6 +5,7 @@ import random
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from papertrail.llm import pii
 from papertrail.llm.pii import replace_private
@@ -299,3 +300,29 @@ def test_odd_tables(spark, odd, none):
 def test_no_python_workers(docs):
     plan = replace_private(docs, key="k")._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+MEGABYTE = 1 << 20
+REPEATS = ["x@{}com|a.", "x@{}|a-", "Mr. {}|Aa ", "Mr. {}|A. ", "Mr. Smith {}|A. ", "{}Smith|Mr ", "Mr. {}|van ", "Mr. {}|Aa-Bb ", "Mr. {}|AaBb", "{}|1 ", "{}|12-", "{}|DE44 5001 ", "{}|ab1", "{}|A1B2 ", "+49{}| 30", "{}|1.2.", "Mr. Aa {}|AA-"]
+
+
+def test_no_text_is_too_long(spark):
+    """A megabyte of each pattern's own repeats, in one text and in one job."""
+    texts = []
+    for row in REPEATS:
+        frame, part = row.split("|")
+        texts.append(frame.replace("{}", part * (MEGABYTE // len(part))))
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in replace_private(df, key="k").select("doc_id", F.length("text").alias("n"), "kinds").collect()}
+    assert len(got) == len(texts)
+    assert got[0]["kinds"] == ["EMAIL"] and got[0]["n"] == len(texts[0])
+    assert set(got[2]["kinds"]) == {"GIVEN_M", "SURNAME"}
+
+
+def test_a_name_in_an_address_is_no_common_word(spark):
+    text = "Dr. Alice Brown wrote to alice.brown@x.org. BROWN agreed."
+    other = "Dr. Alice Brown wears a brown coat. BROWN agreed."
+    rows = replace_private(spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string"), key="k").orderBy("doc_id").collect()
+    assert "BROWN" not in rows[0]["text"] and "Brown" not in rows[0]["text"] and "brown" not in rows[0]["text"]
+    assert "BROWN" in rows[1]["text"] and "brown coat" in rows[1]["text"] and "Brown" not in rows[1]["text"]
+    assert rows[0]["text"].split()[2].upper() == rows[0]["text"].split()[6]  # the mention has the person's surrogate
