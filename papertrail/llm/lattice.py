@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.llm.common import over_arrow, stored, utf8, word_blocks
+from papertrail.llm.common import kept, over_arrow, stored, utf8, word_blocks
 from papertrail.llm.tokens import vocabulary_path
 
 #: Counted words go to the executors with their counts if they are among so many most frequent (or fewer); all others by a join.
 FREQUENT = 1 << 17
 #: Longer words than this are never among them, so that they take 8 MB at most.
 FREQUENT_BYTES = 64
-#: No piece lies across the end of a stretch of so many bytes of a word (less, to end with a character).
-STRETCH = 256
+#: Words of more bytes are handled one by one, shorter ones side by side.
+LONG = 256
 #: Words that a task gathers: before it hands its counts on, and to handle side by side.
 HELD = 300_000
 #: Expectation-maximisation steps over the corpus, from the vocabulary's own weights.
@@ -54,9 +56,9 @@ class Pieces:
     """A vocabulary of subword pieces with probabilities, and the forward recursion over all segmentations of words.
 
     A word is its UTF-8 bytes behind a blank; a piece is such bytes too. Every byte is a piece by itself, so that any
-    text has a segmentation. Words of over STRETCH bytes are lattices of STRETCH bytes one behind the other: all their
-    segmentations that have a cut there count, and time and memory grow in proportion to a word's length. Prefix hashes
-    give every substring's number without making it: lattices of similar length are handled side by side.
+    text has a segmentation. Prefix hashes give every substring's number without making it. Lattices of short words of
+    similar length are handled side by side; a long word's is one pass along its arcs, of which each place has as many as
+    pieces end there, so that time and memory grow in proportion to its length.
     """
 
     def __init__(self, pieces: list[bytes]) -> None:
@@ -111,11 +113,11 @@ class Pieces:
 
     @staticmethod
     def blocks(words: list[bytes], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(words' places, lengths, rows of bytes) of stretches, in blocks of bounded size. Rows are as long as the next
-        power of two, and what lies behind a stretch is no byte."""
-        stretches = [(i, x) for i, w in enumerate(words) for x in cut(b" " + w)]
-        owner = np.array([i for i, _ in stretches], np.int64)
-        sizes = np.array([len(x) for _, x in stretches], np.int64)
+        """(words' places, lengths, rows of bytes) of short words, in blocks of bounded size. Rows are as long as the next
+        power of two, and what lies behind a word is no byte."""
+        short = [(i, b" " + w) for i, w in enumerate(words) if len(w) < LONG]
+        owner = np.array([i for i, _ in short], np.int64)
+        sizes = np.array([len(x) for _, x in short], np.int64)
         width = np.int64(1) << np.ceil(np.log2(np.maximum(4, sizes))).astype(np.int64)
         for size in np.unique(width).tolist():
             own = np.flatnonzero(width == size)
@@ -123,16 +125,53 @@ class Pieces:
             for a in range(0, len(own), step):
                 part = own[a : a + step]
                 longest = int(sizes[part].max())
-                raw = b"".join(stretches[i][1].ljust(longest, b"\0") for i in part.tolist())
+                raw = b"".join(short[i][1].ljust(longest, b"\0") for i in part.tolist())
                 rows = np.frombuffer(raw, np.uint8).reshape(len(part), longest).astype(np.uint64)
                 rows[np.arange(longest) >= sizes[part][:, None]] = 1 << 20
                 yield owner[part], sizes[part], rows
 
+    def _arcs_of_long(self, word: bytes, block: int = 1 << 16) -> Iterator[np.ndarray]:
+        """Arcs of a word (rows: from, to, piece), by end, in blocks of its places."""
+        raw = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        for a in range(0, len(raw), block):
+            first, end = max(0, a - self.longest), min(len(raw), a + block)
+            prefix = np.zeros(end - first + 1, np.uint64)
+            h = 0
+            for k, c in enumerate(raw[first:end].tolist(), 1):
+                h = (h * int(_BASE) + c) & 0xFFFFFFFFFFFFFFFF
+                prefix[k] = h
+            starts, ends, pieces = [], [], []
+            for size in range(1, self.longest + 1):
+                j = np.arange(max(a + 1, size), end + 1)
+                j = j[j - size >= first]
+                found = self.find(prefix[j - first] - prefix[j - size - first] * self.powers[size])
+                own = np.flatnonzero(found >= 0)
+                starts.append(j[own] - size)
+                ends.append(j[own])
+                pieces.append(found[own])
+            arcs = np.array([np.concatenate(x) for x in (starts, ends, pieces)], np.int32)
+            yield arcs[:, np.argsort(arcs[1], kind="stable")]
+
+    def _alpha_of_long(self, word: bytes, logp: list[float]) -> list[float]:
+        alpha = [-math.inf] * (len(word) + 1)
+        alpha[0] = 0.0
+        for arcs in self._arcs_of_long(word):
+            for i, j, p in zip(*arcs.tolist(), strict=True):
+                new, old = alpha[i] + logp[p], alpha[j]
+                if new == -math.inf:
+                    continue
+                alpha[j] = new if old == -math.inf else new + math.log1p(math.exp(old - new)) if new > old else old + math.log1p(math.exp(new - old))
+        return alpha
+
     def forward(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
         """The natural logarithm of each word's probability: the sum over all its segmentations."""
         out = np.zeros(len(words))
         for owner, sizes, rows in self.blocks(words):
-            np.add.at(out, owner, self._alpha(rows, self._arcs(rows), logp)[sizes, np.arange(len(sizes))])
+            out[owner] = self._alpha(rows, self._arcs(rows), logp)[sizes, np.arange(len(sizes))]
+        plain = logp.tolist()
+        for n, w in enumerate(words):
+            if len(w) >= LONG:
+                out[n] = self._alpha_of_long(b" " + w, plain)[-1]
         return out
 
     @staticmethod
@@ -157,20 +196,23 @@ class Pieces:
                 step = logp[piece] + beta[j, own]
                 np.add.at(out, piece, np.exp(alpha[i, own] + step - whole[own]))
                 beta[i, own] = np.logaddexp(beta[i, own], step)
+        plain = logp.tolist()
+        for w in words:
+            if len(w) >= LONG:
+                self._expect_long(b" " + w, plain, out)
         return out
 
-
-def cut(word: bytes) -> list[bytes]:
-    """A word in stretches of at most STRETCH bytes that end with a character, if one ends there."""
-    out, at = [], 0
-    while len(word) - at > STRETCH:
-        end = at + STRETCH
-        while end > at + STRETCH - 4 and word[end] & 0xC0 == 0x80:
-            end -= 1
-        end = end if word[end] & 0xC0 != 0x80 else at + STRETCH
-        out.append(word[at:end])
-        at = end
-    return [*out, word[at:]]
+    def _expect_long(self, word: bytes, logp: list[float], out: np.ndarray) -> None:
+        alpha = self._alpha_of_long(word, logp)
+        whole, beta = alpha[-1], [-math.inf] * len(alpha)
+        beta[-1] = 0.0
+        for arcs in reversed(list(self._arcs_of_long(word))):
+            for i, j, p in zip(*arcs[:, ::-1].tolist(), strict=True):
+                step, old = logp[p] + beta[j], beta[i]
+                if step == -math.inf:
+                    continue
+                out[p] += math.exp(alpha[i] + step - whole)
+                beta[i] = step if old == -math.inf else step + math.log1p(math.exp(old - step)) if step > old else old + math.log1p(math.exp(step - old))
 
 
 def vocabulary_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -202,13 +244,13 @@ def fit_pieces(counts: DataFrame, pieces: list[bytes], logp: np.ndarray, steps:
 
     Each step is one pass over the word counts; what comes to the driver is one number for each piece.
     """
-    spark = counts.sparkSession
+    spark, run = counts.sparkSession, uuid.uuid4().hex
     for _ in range(steps):
         sent = spark.sparkContext.broadcast((pieces, logp))
 
         def expected(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, p = sent.value
-            model, total, held = Pieces(names), np.zeros(len(p)), []
+            model, total, held = kept(("lattice", run), lambda: Pieces(names)), np.zeros(len(p)), []
             for b in batches:
                 held += b.column(0).to_pylist()
                 if len(held) >= HELD:
@@ -254,8 +296,7 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
 
     Counts of the most frequent words, at most 131,072 of at most 64 bytes, go to every task; each other word of a text is
     joined with its count: hot words are never a join key. Tasks hold a batch of texts, the pieces and their counts.
-    Words of over 256 bytes are lattices of 256 bytes one behind the other. Null and empty texts have one
-    token, the end. Nothing learned: every count is 0. Repeated rows are scored each; a null id stays null; other columns
+    Null and empty texts have one token, the end. Nothing learned: every count is 0. Repeated rows are scored each; a null id stays null; other columns
     are not read, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -279,13 +320,18 @@ def score(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_c
 
     log_rest = np.log10(distinct / words_share) if total else 0.0
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    run = uuid.uuid4().hex
+
+    def prepared() -> tuple[Pieces, dict[bytes, float], dict[bytes, float]]:
         names, p, often = sent.value
-        lattice = Pieces(names)
-        own_base = {w: float(base_of(np.float64(c))) for w, c in often.items()}
-        often_words = list(often)
+        lattice, often_words = Pieces(names), list(often)
         q = lattice.forward(often_words, p) / np.log(10)
-        own_score = {w: float(np.log10(often[w] / words_share + 10.0 ** (log_rest + x))) for w, x in zip(often_words, q.tolist(), strict=True)}
+        own_base = {w: float(base_of(np.float64(c))) for w, c in often.items()}
+        return lattice, own_base, {w: float(np.log10(often[w] / words_share + 10.0 ** (log_rest + x))) for w, x in zip(often_words, q.tolist(), strict=True)}
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value[1]
+        lattice, own_base, own_score = kept(("scores", run), prepared)  # for a worker's next tasks
         end_base = float(base_of(np.float64(ends)))
         end_score = float(np.log10(ends / words_share)) if ends else -base_all
         for b in batches:

@@ -69,14 +69,12 @@ def test_base_scores_equal_brute_force(spark, docs, monkeypatch, frequent):
 
 
 def slow_score(word, p, longest):
-    """log10 of a word's probability over all cuts into pieces, by the plain recursion over its bytes, in stretches."""
-    total = Decimal(1)
-    for part in lattice.cut(b" " + word):
-        alpha = [Decimal(1)] + [Decimal(0)] * len(part)
-        for j in range(1, len(part) + 1):
-            alpha[j] = sum(alpha[i] * p[part[i:j]] for i in range(max(0, j - longest), j) if part[i:j] in p)
-        total *= alpha[-1]
-    return float(total.log10())
+    """log10 of a word's probability over all cuts into pieces, by the plain recursion over its bytes."""
+    word = b" " + word
+    alpha = [Decimal(1)] + [Decimal(0)] * len(word)
+    for j in range(1, len(word) + 1):
+        alpha[j] = sum(alpha[i] * p[word[i:j]] for i in range(max(0, j - longest), j) if word[i:j] in p)
+    return float(alpha[-1].log10())
 
 
 @pytest.mark.parametrize("frequent", [1 << 17, 3])
@@ -120,8 +118,23 @@ def test_words_without_end_are_linear():
     one, han = model.forward([blob, ("我们一起学习中文" * 12_000).encode()], logp)
     model.expected([blob], logp)
     assert time.process_time() - start < 30 and -1e8 < one < -1e6 and -1e8 < han < -1e5
-    assert sum(map(len, lattice.cut(blob))) == len(blob) and {len(x) for x in lattice.cut(blob)[:-1]} == {lattice.STRETCH}
-    assert all(x.decode() for x in lattice.cut("€".encode() * 1000)) and b"".join(lattice.cut(b"\x80" * 1000)) == b"\x80" * 1000
+
+
+def test_long_words_are_not_cut():
+    """A thousand times the same letter, and a word at the border between the two ways of handling words."""
+    pieces, _ = lattice.vocabulary_pieces(vocabulary_path("piece_bpe_32k.model"))
+    model = lattice.Pieces([b"x", b"xx", b"xxx", b" x", b"x" * 16])
+    logp = np.log(np.full(len(model.pieces), 1 / len(model.pieces)))
+    p = {x: Decimal(1) / len(model.pieces) for x in model.pieces}
+    for n in (lattice.LONG - 1, lattice.LONG, lattice.LONG + 1, 1000, 70_000):
+        got = model.forward([b"x" * n], logp)[0] / math.log(10)
+        assert math.isclose(got, slow_score(b"x" * n, p, 16), rel_tol=1e-9), n
+    counts = model.expected([b"x" * 300], logp)
+    assert math.isclose(sum(c * len(x) for c, x in zip(counts, model.pieces, strict=True)), 301, rel_tol=1e-6)
+    short = model.expected([b"x" * 200], logp)
+    out = np.zeros(len(model.pieces))
+    model._expect_long(b" " + b"x" * 200, logp.tolist(), out)
+    assert np.allclose(short, out) and len(pieces) > 10_000
 
 
 def test_scores_of_odd_documents(odd, none):
