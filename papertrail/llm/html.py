@@ -20,7 +20,7 @@ OPAQUE = frozenset("script style noscript template svg math canvas iframe object
 #: Of these, the ones that last to the page's end if nothing closes them.
 TO_THE_END = frozenset("script style textarea title template noscript iframe svg".split())
 #: Elements whose whole content stands outside an article.
-ASIDE = frozenset("nav footer aside form menu dialog header search fieldset".split())
+ASIDE = frozenset("nav footer aside menu dialog header search fieldset".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements within a block.
@@ -32,13 +32,15 @@ ENDS_P = frozenset("p div article section h1 h2 h3 h4 h5 h6 ul ol dl pre table b
 #: Elements that end an open one of the same group.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
 #: Words in class and id names for what isn't an article.
-BOILER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner popup modal overlay cookie cookies consent gdpr notice alert disclaimer newsletter subscribe subscription signup login breadcrumb breadcrumbs menu nav navbar navigation toolbar sidebar rail widget related recommended recommendations share sharing social comment comments respond reply replies disqus footer header masthead copyright legal pagination pager skip search".split())
+BOILER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner popup modal overlay cookie cookies consent gdpr notice alert disclaimer newsletter subscribe subscription signup login breadcrumb breadcrumbs menu nav navbar navigation toolbar sidebar rail widget related recommended recommendations share sharing social comment comments commentlist commentform respond reply replies disqus footer header masthead copyright legal pagination pager skip search".split())
+#: Of these, the ones that hold whatever the text: comments, menus, consent, adverts. Names without one of them only ask.
+FIRM = frozenset("ad ads advert adverts advertisement advertising sponsored popup modal cookie cookies consent gdpr newsletter subscribe subscription signup login breadcrumb breadcrumbs menu nav navbar navigation comment comments commentlist commentform respond reply replies disqus footer masthead pagination pager skip".split())
 #: Words behind such a word that only say which part of the layout it is.
 PARTS = frozenset("area areas article articles bar block body bottom box btn button buttons center column container content dialog first form frame group holder icon icons image inner item items last layer left line link links list main media message module outer panel place policy post posts primary region right row secondary section slot small space stories story strip tab text thread title top unit wide wrap wrapper zone".split())
 #: Words in front of such a word that make a name the state of a page.
 STATES = frozenset("has no with without is not show hide js".split())
 #: Roles whose elements stand outside an article.
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar alertdialog toolbar".split())
 
 # The tokens of the HTML standard: an attribute's value is quoted only if it begins with a quote.
 _VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
@@ -52,18 +54,58 @@ _SPACE = re.compile(r"\s+")
 WINDOW, SURGE, DIVE = 3, 86, 0
 #: A line whose own class says that it is no article counts for so much of its length.
 DOUBT = 0.25
-#: What markup says of an element: nothing, that its text is doubtful, that it stands outside the article.
-FINE, DOUBTFUL, OUTSIDE = 0, 1, 2
+#: What markup says of an element: nothing, that its text is doubtful, that it may stand outside the article, or that it does.
+FINE, DOUBTFUL, ASKED, OUTSIDE = 0, 1, 2, 3
+#: So much plain text within a marked article is article, whatever a name says that only asks.
+SUBSTANCE = 2 * SURGE
 
 
 class Line:
-    """A block of the page: its text, the part of it that is link text, whether markup puts it inside an article, and
-    what markup says against it (FINE, DOUBTFUL, OUTSIDE)."""
+    """A block of the page: its text, the part of it that is link text, whether markup puts it inside an article, what
+    markup says against it (FINE, DOUBTFUL, OUTSIDE), and the number of the innermost element around it that asks."""
 
-    __slots__ = ("text", "linked", "main", "said")
+    __slots__ = ("text", "linked", "main", "said", "asked")
 
-    def __init__(self, text: str, linked: int, main: bool, said: int) -> None:
-        self.text, self.linked, self.main, self.said = text, linked, main, said
+    def __init__(self, text: str, linked: int, main: bool, said: int, asked: int = -1) -> None:
+        self.text, self.linked, self.main, self.said, self.asked = text, linked, main, said, asked
+
+
+class Asking:
+    """An element whose name (or <form>) says that it isn't article, unless its text says otherwise: the name, the number of
+    the next such element around it, whether it is in a marked article, whether it is the outermost one of its name."""
+
+    __slots__ = ("name", "up", "main", "top")
+
+    def __init__(self, name: str, up: int, main: bool, top: bool) -> None:
+        self.name, self.up, self.main, self.top = name, up, main, top
+
+
+def refused(asking: list[Asking], lines: list[Line]) -> list[bool]:
+    """Which of the elements that ask stand outside the article, with all that is in them.
+
+    Not those that hold most of the page's plain text (what is no link and not outside anyway): layout, or a form around
+    the page. Nor those that aren't mostly links, if all elements of their name hold most of it, each a paragraph perhaps,
+    or if they have some plain text within a marked article. Linear in the page.
+    """
+    plain, links, total = [0] * len(asking), [0] * len(asking), 0
+    for x in lines:
+        if x.said != OUTSIDE:
+            total += len(x.text) - x.linked
+            if x.asked >= 0:
+                plain[x.asked] += len(x.text) - x.linked
+                links[x.asked] += x.linked
+    by_name: Counter[str] = Counter()
+    for k in range(len(asking) - 1, -1, -1):
+        if asking[k].up >= 0:
+            plain[asking[k].up] += plain[k]
+            links[asking[k].up] += links[k]
+        by_name[asking[k].name] += plain[k] if asking[k].top else 0
+    most = lambda mass: mass >= SURGE and 2 * mass > total
+    out: list[bool] = []
+    for k, a in enumerate(asking):
+        fine = most(plain[k]) or (links[k] <= plain[k] and (most(by_name[a.name]) or (a.main and plain[k] >= SUBSTANCE)))
+        out.append(not fine or (a.up >= 0 and out[a.up]))
+    return out
 
 
 def names_boilerplate(name: str, alone: bool = False) -> bool:
@@ -76,34 +118,48 @@ def names_boilerplate(name: str, alone: bool = False) -> bool:
     return words[-1] in BOILER or (words[0] in BOILER and all(w in BOILER or w in PARTS for w in words))
 
 
-def judged(tag: str, attributes: str, in_article: bool) -> int:
-    """What an element's own markup says of its text.
+def is_firm(name: str) -> bool:
+    return any(w.lower() in FIRM for w in _WORDS.findall(name))
+
+
+def judged(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """What an element's own markup says of its text, and the name by which it asks.
 
-    Hidden elements, the standard's elements and roles for other parts of a page, and layout whose class or id names
-    boilerplate stand outside. Such a name on an element that holds text itself makes the text doubtful only.
+    Hidden elements, the standard's elements and roles for other parts of a page, and layout whose class or id firmly
+    names boilerplate stand outside. Other such names, and forms, ask (see `refused`). On an element that holds text
+    itself a name makes the text doubtful only.
     """
     if tag in ASIDE and not (tag == "header" and in_article):
-        return OUTSIDE
-    if tag in ("html", "body", "main") or not _TOLD.search(attributes):
-        return FINE
-    said = FINE
+        return OUTSIDE, ""
+    if tag in ("html", "body", "main"):
+        return FINE, ""
+    said, by = (ASKED, "<form>") if tag == "form" else (FINE, "")
+    if not _TOLD.search(attributes):
+        return said, by
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'") if value[:1] in ("'", '"') else value
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return OUTSIDE
+            return OUTSIDE, ""
         if name == "role" and value.lower() in ROLES:
-            return OUTSIDE
-        if name in ("class", "id") and any(names_boilerplate(x, tag == "article") for x in value.split()):
-            if tag not in TEXTUAL:
-                return OUTSIDE
-            said = DOUBTFUL
-    return said
+            return OUTSIDE, ""
+        if name in ("class", "id"):
+            for x in value.split():
+                if names_boilerplate(x, tag == "article"):
+                    if tag in TEXTUAL:
+                        said = max(said, DOUBTFUL)
+                    elif is_firm(x):
+                        return OUTSIDE, ""
+                    else:
+                        said, by = ASKED, x
+    return said, by
 
 
 def page_lines(page: str) -> list[Line]:
     """Strip markup: one line for each block, in page order; blocks without text are lines too. Linear in the page."""
     lines: list[Line] = []
-    stack: list[tuple[str, int, bool]] = []  # open elements: name, what is said against it and those around it, whether in the article
+    stack: list[tuple[str, int, bool, int]] = []  # open elements: name, what is said against it and those around it, whether in the article, the innermost one that asks
+    asking: list[Asking] = []
+    names: Counter[str] = Counter()  # of open elements that ask
     count: Counter[str] = Counter()  # open elements by name
     endless: set[str] = set()  # elements that nothing closes from here on
     text: list[str] = []
@@ -112,7 +168,7 @@ def page_lines(page: str) -> list[Line]:
     def flush() -> None:
         nonlocal linked
         own = _SPACE.sub(" ", references.unescape("".join(text))).strip()
-        lines.append(Line(own, min(linked, len(own)), bool(stack and stack[-1][2]), stack[-1][1] if stack else FINE))
+        lines.append(Line(own, min(linked, len(own)), bool(stack and stack[-1][2]), stack[-1][1] if stack else FINE, stack[-1][3] if stack else -1))
         text.clear()
         linked = 0
 
@@ -123,13 +179,21 @@ def page_lines(page: str) -> list[Line]:
             linked += len(piece.strip()) if links else 0
 
     def opened(tag: str, attributes: str) -> None:
-        up = stack[-1] if stack else ("", FINE, False)
-        stack.append((tag, max(up[1], judged(tag, attributes, up[2])), up[2] or tag in ("article", "main")))
+        up = stack[-1] if stack else ("", FINE, False, -1)
+        said, by = judged(tag, attributes, up[2])
+        asked = up[3]
+        if said == ASKED:
+            asking.append(Asking(by, up[3], up[2], not names[by]))
+            names[by] += 1
+            said, asked = FINE, len(asking) - 1
+        stack.append((tag, max(up[1], said), up[2] or tag in ("article", "main"), asked))
         count[tag] += 1
 
     def popped() -> str:
-        tag = stack.pop()[0]
+        tag, _, _, asked = stack.pop()
         count[tag] -= 1
+        if asked >= 0 and asked != (stack[-1][3] if stack else -1):
+            names[asking[asked].name] -= 1
         return tag
 
     while at < len(page):
@@ -162,7 +226,7 @@ def page_lines(page: str) -> list[Line]:
                 flush()
                 while popped() != tag:
                     pass
-            elif not closing and (count[tag] or judged(tag, m[4], bool(stack and stack[-1][2])) != FINE):
+            elif not closing and (count[tag] or judged(tag, m[4], bool(stack and stack[-1][2]))[0] != FINE):
                 flush()
                 opened(tag, m[4])
             continue
@@ -179,6 +243,10 @@ def page_lines(page: str) -> list[Line]:
                 popped()
             opened(tag, m[4])
     flush()
+    out = refused(asking, lines)
+    for x in lines:
+        if x.asked >= 0 and out[x.asked]:
+            x.said = OUTSIDE
     return lines
 
 
