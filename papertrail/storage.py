@@ -34,10 +34,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete what stored() has written in this session; call it when no result still reads it."""
-    while _stored:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+def mark() -> int:
+    """For forget(): what stored() writes from here on."""
+    return len(_stored)
+
+
+def forget(spark: SparkSession, since: int = 0, *, but_last: bool = False) -> None:
+    """Delete what stored() has written in this session (since a mark; all but the last of it): call it when no result
+    still reads it."""
+    gone = _stored[since : len(_stored) - but_last]
+    _stored[since : len(_stored) - but_last] = []
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
