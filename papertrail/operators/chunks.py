@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 MOST, OVERLAP, HEADER, SLICE = 110, 20, 120, 400
 LONGEST_WORD, ENCODED = 100, 128
+#: Words whose number of pieces a worker remembers.
+REMEMBERED = 200_000
 
 
 def _cjk(c: str) -> bool:
@@ -39,13 +43,18 @@ class WordPiece:
 
     def __init__(self, vocabulary: dict[str, int], unknown: str = "[UNK]", start: str = "[CLS]", end: str = "[SEP]") -> None:
         self.vocabulary, self.unknown, self.start, self.end = vocabulary, unknown, start, end
+        self.heads = {t for t in vocabulary if not t.startswith("##")}
+        self.tails = {t[2:] for t in vocabulary if t.startswith("##")}
+        self.longest = [max(map(len, x), default=0) for x in (self.heads, self.tails)]
+        self.counts: dict[str, int] = {}
 
     def pieces(self, word: str) -> list[str]:
         if len(word) > LONGEST_WORD:
             return [self.unknown]
         out, at = [], 0
         while at < len(word):
-            end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in self.vocabulary), None)
+            known, most = (self.tails, self.longest[1]) if at else (self.heads, self.longest[0])
+            end = next((e for e in range(min(len(word), at + most), at, -1) if word[at:e] in known), None)
             if end is None:
                 return [self.unknown]
             out.append(("##" if at else "") + word[at:end])
@@ -60,30 +69,42 @@ class WordPiece:
         return [self.vocabulary[t] for t in (self.start, *self.tokens(text)[: size - 2], self.end)]
 
     def count(self, text: str) -> int:
-        return len(self.tokens(text))
+        """How many pieces a text has; short ones are remembered, so that a corpus's words are each cut up once."""
+        n = self.counts.get(text)
+        if n is None:
+            n = len(self.tokens(text))
+            if len(text) <= LONGEST_WORD:
+                if len(self.counts) >= REMEMBERED:
+                    self.counts.clear()
+                self.counts[text] = n
+        return n
+
+
+_worker: list[tuple[str, WordPiece]] = []
+
+
+def _model(key: str, vocabulary: Callable[[], dict[str, int]]) -> WordPiece:
+    """One for each Python worker, which its next tasks go on with."""
+    if not _worker or _worker[0][0] != key:
+        _worker[:] = [(key, WordPiece(vocabulary()))]
+    return _worker[0][1]
 
 
 def chunk(text: str, count: Callable[[str], int], most: int = MOST, overlap: int = OVERLAP) -> list[tuple[str, int]]:
-    """(chunk, pieces): whole words up to `most` pieces; the next one steps back over up to `overlap`, but always goes on."""
+    """(chunk, pieces): whole words up to `most` pieces; the next one steps back over up to `overlap`, but always goes on.
+
+    Borders are looked up in the sums of the words' pieces: where a chunk ends, and how far the next one reaches back.
+    """
     words = text.split()
-    sizes = [count(w) for w in words]
+    sums = [0, *accumulate(map(count, words))]
     out, start = [], 0
     while start < len(words):
-        end, total = start, 0
-        while end < len(words) and total + sizes[end] <= most:
-            total += sizes[end]
-            end += 1
-        if end == start:
-            end, total = start + 1, sizes[start]
-        if total:
-            out.append((" ".join(words[start:end]), total))
+        end = max(start + 1, bisect_right(sums, sums[start] + most) - 1)
+        if sums[end] > sums[start]:
+            out.append((" ".join(words[start:end]), sums[end] - sums[start]))
         if end == len(words):
             break
-        back, shared = end, 0
-        while back > start + 1 and shared + sizes[back - 1] <= overlap:
-            back -= 1
-            shared += sizes[back]
-        start = back
+        start = max(start + 1, bisect_left(sums, sums[end] - overlap, 0, end))
     return out
 
 
@@ -101,11 +122,13 @@ def fit(text: str, budget: int, count: Callable[[str], int]) -> str:
 def document_chunks(docs: DataFrame, *, text: str = "text", facts: str | None = None, label: str | None = None, vocabulary: dict[str, int] | None = None) -> DataFrame:
     """(id, chunk_ix, text, pieces): chunk 0 is the facts line if there is one, then the text's chunks, behind the label.
 
-    Without a vocabulary a word is a piece where facts are fitted, and the text falls into slices of 400 characters.
+    The vocabulary goes to each executor once, and each of its workers makes one model of it. Without a vocabulary a word
+    is a piece where facts are fitted, and the text falls into slices of 400 characters.
     """
+    sent, key = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = WordPiece(vocabulary) if vocabulary else None
+        model = _model(key, lambda: sent.value) if sent.value else None
         count = model.count if model else lambda w: 1
         for b in batches:
             out = []
@@ -124,32 +147,3 @@ def document_chunks(docs: DataFrame, *, text: str = "text", facts: str | None =
     none = F.lit(None).cast("string")
     chosen = docs.select("id", F.col(text).alias("t"), (F.col(facts) if facts else none).alias("f"), (F.col(label) if label else none).alias("l"))
     return chosen.mapInPandas(rows, "id long, chunk_ix int, text string, pieces int")
-
-
-def mask_boxes(words: list[tuple[str, float, float, float, float]], valid: Callable[[str], bool]) -> list[int]:
-    """Numbers of the words on a page to cover: those that spell a valid twelve-digit number but for its last four digits.
-
-    Words come as (text, left, top, right, bottom); words whose heights overlap by half are a row, read from the left.
-    """
-    order = sorted(range(len(words)), key=lambda i: (words[i][2] + words[i][4], words[i][1]))
-    grouped: list[list[int]] = []
-    for i in order:
-        top, bottom = words[i][2], words[i][4]
-        for row in grouped:
-            a, b = words[row[0]][2], words[row[0]][4]
-            if min(b, bottom) - max(a, top) >= 0.5 * min(b - a, bottom - top):
-                row.append(i)
-                break
-        else:
-            grouped.append([i])
-    hidden: list[int] = []
-    for row in grouped:
-        row.sort(key=lambda i: words[i][1])
-        digits = [(d, i) for i in row for d in re.sub(r"[\s -]", "", words[i][0])]
-        text = "".join(d for d, _ in digits)
-        for m in re.finditer(r"(?<!\d)[2-9]\d{11}(?!\d)", text):
-            if valid(m[0]):
-                last = {i for _, i in digits[m.end() - 4 : m.end()]}
-                covered = {i for _, i in digits[m.start() : m.end() - 4]}
-                hidden += sorted(covered - last) if covered - last else sorted(covered)
-    return hidden

@@ -12,7 +12,7 @@ from papertrail.functions.vectors import dot
 PERSONS = ["selfie", "people"]
 MIN_CONFIDENCE, FACE_CHECK, GROUP_FACES = 0.4, 0.25, 3
 HOME_CELL, AWAY_KM, GAP_MS, TRIP_PHOTOS = 0.05, 40.0, 36 * 3_600_000, 3
-PLACE_CELL, PLACE_KM = 1.0, 30.0
+PLACE_CELL, PLACE_KM, KM_PER_DEGREE = 0.3, 30.0, 111.0
 
 
 def similarities(images: DataFrame, labels: DataFrame) -> DataFrame:
@@ -122,16 +122,21 @@ def trip_label(first: Column, last: Column) -> Column:
 def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     """(id, place, km): for points (id, lat, lon) the place within 30 km with the least km - 3 log10(population).
 
-    A point looks into the nine cells of one degree around it: an equi-join, however many places there are.
+    Places, of which there are fewer, are filed in all cells that 30 km around them reach into: three rows of cells, of
+    which more are needed the nearer the poles are. Points look into their own cell only, and each distinct point once.
     """
-    around = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
-    c = cell(F.col("lat"), F.col("lon"), PLACE_CELL)
-    asked = located(points).select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), c.alias("_c"), around.alias("_d")).select("id", "_lat", "_lon", (F.col("_c.y") + F.col("_d.y")).alias("y"), (F.col("_c.x") + F.col("_d.x")).alias("x"))
-    filed = places.select("name", "lat", "lon", "population", c.alias("_c")).select("*", F.col("_c.y").alias("y"), F.col("_c.x").alias("x")).drop("_c")
+    at = located(points).select("lat", "lon").distinct().withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    asked = at.withColumn("_c", cell(F.col("_lat"), F.col("_lon"), PLACE_CELL)).select("_lat", "_lon", "_c.y", "_c.x")
+    narrow = F.cos(F.radians(F.least(F.abs("lat") + PLACE_CELL, F.lit(89.0))))
+    wide = F.ceil(F.lit(PLACE_KM / KM_PER_DEGREE / PLACE_CELL) / narrow).cast("int")
+    rows, columns = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))), F.explode(F.sequence(-F.col("_w"), F.col("_w")))
+    filed = places.select("name", "lat", "lon", "population", wide.alias("_w"), rows.alias("_dy")).select("*", columns.alias("_dx"))
+    filed = filed.withColumn("_c", cell(F.col("lat"), F.col("lon"), PLACE_CELL)).select("name", "lat", "lon", "population", (F.col("_c.y") + F.col("_dy")).alias("y"), (F.col("_c.x") + F.col("_dx")).alias("x"))
     near = asked.join(filed, ["y", "x"]).withColumn("km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).filter(F.col("km") <= PLACE_KM)
     rated = near.withColumn("rating", F.col("km") - 3 * F.log10(F.greatest(F.col("population"), F.lit(1)).cast("double")))
-    best = rated.groupBy("id").agg(F.min_by(F.struct("name", "km"), F.struct(F.round("rating", 9), "name")).alias("b"))
-    return best.select("id", F.col("b.name").alias("place"), "b.km")
+    best = rated.groupBy("_lat", "_lon").agg(F.min_by(F.struct("name", "km"), F.struct(F.round("rating", 9), "name")).alias("b"))
+    found = points.join(best, (points["lat"] == best["_lat"]) & (points["lon"] == best["_lon"]))
+    return found.select("id", F.col("b.name").alias("place"), "b.km")
 
 
 def trip_photos_first(in_trips: DataFrame, own: DataFrame, *, most: int = 60) -> DataFrame:
@@ -148,3 +153,14 @@ def resync(photos: DataFrame, docs: DataFrame, probabilities: DataFrame) -> Data
     new = decide(now, probabilities)
     was = photos.select("id", F.col("category").alias("was"))
     return new.join(was, "id").filter("category <> was").drop("was")
+
+
+def resync_changed(photos: DataFrame, changes: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """(id, category, confidence) of photos (id, doc_id, category, path, faces) whose category changes with the documents
+    in changes (doc_id, saved, saved_type, saved_confidence: what is kept of each now; saved is false if it is gone).
+
+    Only photos of changed documents, and only their probabilities, are looked at: the rest can't have changed.
+    """
+    touched = photos.drop("saved", "saved_type", "saved_confidence").join(changes, "doc_id")
+    new = decide(touched, probabilities.join(touched.select("id"), "id", "left_semi"))
+    return new.join(touched.select("id", F.col("category").alias("was")), "id").filter("category <> was").drop("was")

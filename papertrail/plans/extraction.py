@@ -8,9 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrail.operators import dates
+from papertrail import dims
+from papertrail.operators import chunks, dates
 from papertrail.plans import adapters as a
 from papertrail.plans.registry import oracle, query
+from papertrail.storage import spread
 
 TODAY = dt.date.fromisoformat(a.TODAY)
 
@@ -166,3 +168,55 @@ def _text(x: str | None) -> str:
 
 
 oracle(expiry_of_papers, _O + " " + " UNION ALL ".join(_picked(n, p) for n, p in enumerate(PAPERS)))
+
+
+# ---- chunks by word pieces
+
+_MOST_PIECES = 5000
+
+
+def _vocabulary(spark, sf) -> dict[str, int]:
+    """Letters and digits, and the most frequent short words of the benchmark, each as a beginning and as a continuation."""
+    word = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    short = a.table(spark, sf, "benchmark").select(word.alias("w")).filter(F.length("w").between(2, 4))
+    common = short.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(_MOST_PIECES)
+    pieces = [*"abcdefghijklmnopqrstuvwxyz0123456789", *(r["w"] for r in common.collect())]
+    return {t: n for n, t in enumerate(["[UNK]", "[CLS]", "[SEP]", *pieces, *(f"##{p}" for p in pieces)])}
+
+
+@query
+def chunks_by_pieces(spark, sf):
+    """Whole texts in chunks of 110 pieces with 20 of overlap, behind the label; first the title, as far as it fits."""
+    d = spread(a.vault(spark, sf).select("id", "ocr_text", "title_en", dims.label_of(F.col("doc_type")).alias("label")))
+    c = chunks.document_chunks(d, text="ocr_text", facts="title_en", label="label", vocabulary=_vocabulary(spark, sf))
+    return c.select("id", "chunk_ix", F.sha2("text", 256).alias("sha256"), "pieces")
+
+
+_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_MARK = r"\p{P}$+<=>^`|~"
+oracle(
+    chunks_by_pieces,
+    a.VAULT.replace("WITH", "WITH RECURSIVE", 1)
+    + rf""", short AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 2 AND 4 GROUP BY w ORDER BY n DESC, w LIMIT {_MOST_PIECES}),
+vocab AS MATERIALIZED (SELECT w FROM short UNION SELECT unnest(regexp_extract_all('abcdefghijklmnopqrstuvwxyz0123456789', '.'))),
+docs AS (SELECT id, label, list_filter(regexp_split_to_array(ocr_text, '{_BLANK}'), lambda w: w <> '') AS words, label || ' · ' || owner_name AS title FROM vault),
+every AS (SELECT DISTINCT unnest(words) AS word FROM docs UNION SELECT DISTINCT unnest(string_split(title, ' ')) FROM docs),
+parts AS (SELECT word, unnest(regexp_extract_all(strip_accents(lower(word)), '[^{_MARK}]+|[{_MARK}]')) AS part FROM every),
+cut(part, rest, n) AS (
+  SELECT DISTINCT part, part, 0 FROM parts WHERE regexp_matches(part, '^[a-z0-9]{{1,100}}$')
+  UNION ALL
+  SELECT part, substr(rest, 1 + CASE WHEN substr(rest, 1, 4) IN (SELECT w FROM vocab) THEN length(substr(rest, 1, 4)) WHEN substr(rest, 1, 3) IN (SELECT w FROM vocab) THEN length(substr(rest, 1, 3)) WHEN substr(rest, 1, 2) IN (SELECT w FROM vocab) THEN length(substr(rest, 1, 2)) ELSE 1 END), n + 1 FROM cut WHERE rest <> ''
+), sizes AS (SELECT word, sum(coalesce(n, 1))::INT AS n FROM parts LEFT JOIN (SELECT part, n FROM cut WHERE rest = '') USING (part) GROUP BY word),
+places AS (SELECT id, unnest(words) AS word, unnest(range(len(words))) AS i FROM docs),
+sums AS (SELECT id, list_prepend(0, list(s ORDER BY i)) AS c FROM (SELECT id, i, (sum(coalesce(n, 0)) OVER (PARTITION BY id ORDER BY i))::INT AS s FROM places LEFT JOIN sizes USING (word)) GROUP BY id),
+step(id, k, b, e) AS (
+  SELECT id, 1, 0, greatest(1, len(list_filter(c, lambda x: x <= 110)) - 1) FROM sums WHERE len(c) > 1
+  UNION ALL
+  SELECT id, k + 1, b2, greatest(b2 + 1, len(list_filter(c, lambda x: x <= c[b2 + 1] + 110)) - 1)
+  FROM (SELECT s.id, s.k, m.c, greatest(s.b + 1, len(list_filter(m.c, lambda x: x < m.c[s.e + 1] - 20))) AS b2 FROM step s JOIN sums m ON m.id = s.id WHERE s.e < len(m.c) - 1)
+), made AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) AS k, b, e, c[e + 1] - c[b + 1] AS n FROM step JOIN sums USING (id) WHERE c[e + 1] > c[b + 1])
+SELECT id, k::INT AS chunk_ix, sha256(label || '. ' || array_to_string(words[b + 1 : e], ' ')) AS sha256, n AS pieces FROM made JOIN docs USING (id)
+UNION ALL
+SELECT id, 0, sha256(title), sum(n)::INT FROM (SELECT id, title, unnest(string_split(title, ' ')) AS word FROM docs) JOIN sizes USING (word) GROUP BY id, title
+""",
+)

@@ -240,3 +240,45 @@ SELECT ask, branch, messages, CASE WHEN sought AND n IS NULL THEN CASE WHEN len(
 FROM noted LEFT JOIN hits USING (ask)
 """,
 )
+
+
+# ---- terms of a dictionary, met by joins
+
+@query
+def close_terms(spark, sf):
+    """Words of conversations that are a slip or two away from a word of the benchmark, or the same."""
+    word = lambda t: a.table(spark, sf, t).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()
+    known = word("benchmark").select(F.col("word").alias("term"), terms.allowed_slips(F.col("word")).alias("slips"))
+    return terms.close_terms(word("conversations"), known)
+
+
+_SWAPPED = "[substr(w.word, 1, i - 1) || substr(w.word, i + 1, 1) || substr(w.word, i, 1) || substr(w.word, i + 2) FOR i IN range(1, length(w.word))]"
+oracle(
+    close_terms,
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM conversations), t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM benchmark),
+k AS (SELECT term, CASE WHEN length(term) >= 8 THEN 2 ELSE 1 END AS slips FROM t WHERE length(term) >= 5),
+near AS (SELECT word, term, slips, levenshtein(word, term) AS l, damerau_levenshtein(word, term) AS d FROM w JOIN k ON abs(length(word) - length(term)) <= slips WHERE word <> '')
+SELECT word, term, d::INT AS distance FROM near WHERE d <= slips""",
+)
+
+
+@query
+def places_of_messages(spark, sf):
+    """The place that a message names, of as many places as there are customers: their numbers written as words."""
+    names = a.table(spark, sf, "customer").select(F.concat_ws(" ", F.lit("Newtown"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij")).alias("name"))
+    single = a.table(spark, sf, "customer").select(F.concat(F.lit("Por"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "aeioubcdfg"), F.lit("ville")).alias("name"))
+    key = F.col("conv_id") % 200 + 1
+    word = F.translate(key.cast("string"), "0123456789", "abcdefghij")
+    other = F.translate(key.cast("string"), "0123456789", "aeioubcdfg")
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Photos from newtown "), word, F.lit("!"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("what of Por"), other, F.lit("vile's bills"))).otherwise(F.concat(F.lit("newtowns "), word))
+    said_ = a.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), text.alias("text"))
+    return terms.places_in(said_, names.unionByName(single))
+
+
+oracle(
+    places_of_messages,
+    """WITH names AS (SELECT 'Newtown ' || translate(c_custkey::VARCHAR, '0123456789', 'abcdefghij') AS name FROM customer UNION SELECT 'Por' || translate(c_custkey::VARCHAR, '0123456789', 'aeioubcdfg') || 'ville' FROM customer),
+m AS (SELECT conv_id * 1000 + turn AS message_id, (conv_id % 200 + 1)::VARCHAR AS k, turn FROM conversations),
+q AS (SELECT DISTINCT message_id, trim(regexp_replace(lower(CASE turn % 3 WHEN 0 THEN 'Photos from newtown ' || translate(k, '0123456789', 'abcdefghij') || '!' WHEN 1 THEN 'what of Por' || translate(k, '0123456789', 'aeioubcdfg') || 'vile''s bills' ELSE 'newtowns ' || translate(k, '0123456789', 'abcdefghij') END), '[^a-z]+', ' ', 'g')) AS q FROM m)
+SELECT message_id, arg_min(name, (-length(name), name)) AS place FROM q JOIN names ON contains(' ' || q || ' ', ' ' || lower(name) || ' ') OR (name LIKE 'Por%' AND len([w FOR w IN string_split(q, ' ') IF damerau_levenshtein(regexp_replace(w, 's$', ''), lower(name)) <= 1]) > 0) GROUP BY message_id""",
+)

@@ -14,7 +14,7 @@ from papertrail.lexicon import Lexicon
 from papertrail.operators import answers, checklist, chunks, classify, dates, dedup, entities, intents, metrics, owners, search, vault
 from papertrail.operators import photos as photo_ops
 from papertrail.plans import adapters as a
-from papertrail.plans import extraction, messages, pages  # noqa: F401  (they register their queries)
+from papertrail.plans import extraction, messages, pages, streams, upkeep  # noqa: F401  (they register their queries)
 from papertrail.plans.registry import ORACLES as MORE
 from papertrail.plans.registry import QUERIES, Query, query
 from papertrail.plans.sql import ORACLES

@@ -73,14 +73,6 @@ def pages_of(files: DataFrame, render: Callable[[bytes], list[str]], *, most: in
     return files.select("path", "content").mapInPandas(rows, "path string, page int, text string, error string")
 
 
-def recognised(images: DataFrame, latin: Column, other: Column, fallback: Column) -> DataFrame:
-    """images with text: two recognisers' lines merged, or the fallback's if they found fewer than 40 letters and digits."""
-    from papertrail.functions.text import useful_chars
-
-    merged = F.array_join(F.array_distinct(F.concat(F.split(latin, "\n"), F.split(other, "\n"))), "\n")
-    return images.withColumn("text", F.when(useful_chars(merged) < 40, F.coalesce(fallback, merged)).otherwise(merged))
-
-
 def coordinates(lat: Column, lon: Column) -> tuple[Column, Column]:
     """(0, 0) stands for no coordinates."""
     none = (lat == 0) & (lon == 0)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from papertrail import dims, schemas
@@ -155,11 +156,26 @@ def test_batches_count_once(spark, tmp_path):
     kv = spark.createDataFrame([("a", "1")], schemas.TABLES["kv"])
     for _ in range(2):
         sinks.write_batch({"kv": kv}, str(tmp_path), 0)
-    assert sinks.read_table(spark, str(tmp_path), "kv").count() == 1
+    assert sinks.read_table(spark, str(tmp_path), "kv").count() == 1 and sinks.abandoned(spark, str(tmp_path), "kv").count() == 1
     old = spark.createDataFrame([("u", "food")], "uri string, category string")
     assert schemas.conformed(old, "photos").first()["place"] is None
 
 
+def test_a_batch_is_there_whole_or_not_at_all(spark, tmp_path):
+    path, ids = str(tmp_path), "id long"
+    tables = lambda lo, hi: {"a": spark.range(lo, hi).toDF("id"), "b": spark.range(lo, hi).toDF("id")}
+    read = lambda: [sorted(r["id"] for r in sinks.read_table(spark, path, t, ids).collect()) for t in ("a", "b")]
+    sinks.write_batch(tables(0, 2), path, 0)
+    broken = tables(2, 5) | {"b": spark.range(2, 5).select(F.when(F.col("id") < 9, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))}
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_batch(broken, path, 1)  # the first table is written, the second is not
+    assert read() == [[0, 1], [0, 1]]
+    sinks.write_batch(tables(2, 4), path, 1)
+    assert read() == [[0, 1, 2, 3]] * 2
+    sinks.write_batch(tables(7, 8), path, 0)  # again, with other rows
+    assert read() == [[2, 3, 7]] * 2 and sinks.abandoned(spark, path, "a").count() == 2
+
+
 def test_stream(spark, tmp_path):
     items = lambda lo, hi: spark.range(lo, hi).selectExpr("cast(id as string) uri", "id generation")
     process = lambda b: b.selectExpr("uri", "generation", "if(generation % 3 = 0, 'failed', 'done') status", "cast(null as string) error")

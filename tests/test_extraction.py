@@ -1,9 +1,11 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papertrail.operators import chunks, classify, dates, entities, owners
+from papertrail.operators import chunks, classify, dates, entities, owners, pages
 
 TODAY = dt.date(2026, 9, 27)
 
@@ -181,9 +183,60 @@ def test_word_pieces_and_chunks(spark):
     assert [len(r["text"]) for r in rows] == [10, 410, 410, 110]
 
 
-def test_mask_boxes():
-    from papertrail.functions.ids import valid_py
-
-    words = [("2341", 0, 0, 10, 10), ("2341", 11, 1, 20, 11), ("2346", 21, 0, 30, 10), ("other", 0, 30, 9, 40)]
-    assert chunks.mask_boxes(words, valid_py) == [0, 1]
-    assert chunks.mask_boxes([("234123412345", 0, 0, 9, 9)], valid_py) == []
+def slow_chunks(text, count, most, overlap):
+    """Word by word."""
+    words, out, start = text.split(), [], 0
+    while start < len(words):
+        end, total = start, 0
+        while end < len(words) and total + count(words[end]) <= most:
+            total += count(words[end])
+            end += 1
+        if end == start:
+            end, total = start + 1, count(words[start])
+        if total:
+            out.append((" ".join(words[start:end]), total))
+        if end == len(words):
+            return out
+        shared, start_at = 0, end
+        while start_at > start + 1 and shared + count(words[start_at - 1]) <= overlap:
+            start_at -= 1
+            shared += count(words[start_at])
+        start = start_at
+    return out
+
+
+@given(st.lists(st.integers(0, 9), max_size=80), st.integers(1, 12), st.integers(0, 6))
+@settings(max_examples=300, deadline=None)
+def test_borders_of_chunks(sizes, most, overlap):
+    text = " ".join(f"{n}w{i}" for i, n in enumerate(sizes))
+    count = lambda w: int(w.split("w")[0])
+    assert chunks.chunk(text, count, most, overlap) == slow_chunks(text, count, most, overlap)
+
+
+def words_on(spark, *words):
+    rows = [(1, i, t, *(map(float, box) if box else [None] * 4)) for i, (t, *box) in enumerate(words)]
+    return spark.createDataFrame(rows, "page_id long, word int, text string, left double, top double, right double, bottom double")
+
+
+def test_covers(spark):
+    split = words_on(spark, ("2341", 0, 0, 10, 10), ("2341", 11, 1, 20, 11), ("2346", 21, 0, 30, 10), ("other", 0, 30, 9, 40))
+    assert [(r["word"], r["left"], r["bottom"]) for r in pages.covers(split).orderBy("word").collect()] == [(0, -1.5, 12.0), (1, 9.5, 13.0)]
+    assert pages.mask_plans(split).first().asDict() == {"page_id": 1, "found": 1, "boxed": 1, "complete": True}
+    assert pages.covers(words_on(spark, ("234123412345", 0, 0, 9, 9))).count() == 0
+    open_ = words_on(spark, ("2341", 0, 0, 10, 10), ("2341",), ("2346", 21, 0, 30, 10))
+    assert pages.mask_plans(open_).first().asDict() == {"page_id": 1, "found": 1, "boxed": 0, "complete": False}
+    # once in boxes, in another order, and once without: the boxed one doesn't stand for the other
+    both = words_on(spark, ("2346", 21, 0, 30, 10), ("2341", 11, 0, 20, 10), ("2341", 0, 0, 10, 10), ("x", 0, 50, 9, 60), ("2341",), ("2341",), ("2346",))
+    assert pages.mask_plans(both).first().asDict() == {"page_id": 1, "found": 2, "boxed": 1, "complete": False}
+    inside = words_on(spark, ("No:२३४१-2341-2346!", 0, 0, 180, 10))
+    assert [(round(r["left"], 6), round(r["right"], 6)) for r in pages.covers(inside).collect()] == [(30 - 1.5, 30 + 90 + 1.5)]
+
+
+def test_merged_readings(spark):
+    schema = "page_id long, line int, text string, confidence double, left double, top double, right double, bottom double"
+    line = lambda *r: spark.createDataFrame(list(r), schema)
+    first = line((1, 1, "garbled", 0.9, 0, 0, 100, 20), (1, 2, "Name of the person and a good deal more text", 0.9, 0, 30, 100, 50), (2, 1, "x", 0.9, 0, 0, 9, 9), (3, 1, "abc", 0.2, 0, 0, 9, 9))
+    other = line((1, 1, "नाम", 0.9, 10, 2, 90, 19), (1, 2, "Latin", 0.9, 0, 30, 100, 50), (4, 1, "नमस्ते", 0.9, 0, 0, 9, 9))
+    third = line((2, 1, "a longer reading of the page", 0.9, 0, 0, 9, 9), (3, 1, "ab", 0.9, 0, 0, 9, 9), (5, 1, "only here", 0.9, 0, 0, 9, 9))
+    got = {r["page_id"]: (r["engine"], r["text"]) for r in pages.readings(first, other, third).collect()}
+    assert got == {1: ("merged", "नाम\nName of the person and a good deal more text"), 2: ("merged+fallback", "a longer reading of the page"), 3: ("merged", "abc"), 4: ("merged", "नमस्ते"), 5: ("fallback", "only here")}

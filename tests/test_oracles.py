@@ -10,6 +10,10 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: What these look for occurs in no document of the fixture; others run the same operators over texts that hold it.
+WITHOUT_HITS = {"entities_all", "phone_entities", "amount_max", "date_entities"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -37,4 +41,4 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     df = plans.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (df.count() > 0) != (name in WITHOUT_HITS)
