@@ -234,7 +234,7 @@ def test_covers(spark):
 
 def test_merged_readings(spark):
     schema = "page_id long, line int, text string, confidence double, left double, top double, right double, bottom double"
-    line = lambda *r: spark.createDataFrame(list(r), schema)
+    line = lambda *rows: spark.createDataFrame([(*r[:4], *map(float, r[4:])) for r in rows], schema)
     first = line((1, 1, "garbled", 0.9, 0, 0, 100, 20), (1, 2, "Name of the person and a good deal more text", 0.9, 0, 30, 100, 50), (2, 1, "x", 0.9, 0, 0, 9, 9), (3, 1, "abc", 0.2, 0, 0, 9, 9))
     other = line((1, 1, "नाम", 0.9, 10, 2, 90, 19), (1, 2, "Latin", 0.9, 0, 30, 100, 50), (4, 1, "नमस्ते", 0.9, 0, 0, 9, 9))
     third = line((2, 1, "a longer reading of the page", 0.9, 0, 0, 9, 9), (3, 1, "ab", 0.9, 0, 0, 9, 9), (5, 1, "only here", 0.9, 0, 0, 9, 9))
