@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papertrail.functions.text import normalize_query, osa
+from papertrail.functions.text import damerau, normalize_query, osa
 
 #: The longest term, in words; longer ones are not looked up.
 MOST_WORDS = 8
@@ -31,16 +31,17 @@ def allowed_slips(term: Column) -> Column:
     return F.when(plain & (F.length(term) >= 8), 2).when(plain & (F.length(term) >= 5), 1).otherwise(0)
 
 
-def close_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+def close_terms(words: DataFrame, terms: DataFrame, *, between: bool = False) -> DataFrame:
     """(word, term, distance) for words (word) and terms (term, slips): the pairs that are at most `slips` edits apart.
 
     Both sides are filed under their deletion neighbourhoods and meet by equality; only pairs that meet are measured.
-    Each distinct word is looked up once. Words are taken as they are.
+    Each distinct word is looked up once. Words are taken as they are. Swapped neighbours count one edit; with `between`
+    also if letters have come between them or gone (see damerau_distance), which meet by the same neighbourhoods.
     """
     asked = words.select("word").filter(F.length("word") > 0).distinct().select("word", F.explode(neighbourhood(F.col("word"), F.when(F.length("word") >= 6, 2).otherwise(1))).alias("part"))
     filed = terms.select("term", "slips").filter("slips > 0").distinct().select("term", "slips", F.explode(neighbourhood(F.col("term"), F.col("slips"))).alias("part"))
     met = asked.join(filed, "part").filter(F.abs(F.length("word") - F.length("term")) <= F.col("slips")).select("word", "term", "slips").distinct()
-    return met.withColumn("distance", osa(2)(F.col("word"), F.col("term"))).filter(F.col("distance") <= F.col("slips")).select("word", "term", "distance")
+    return met.withColumn("distance", (damerau if between else osa)(2)(F.col("word"), F.col("term"))).filter(F.col("distance") <= F.col("slips")).select("word", "term", "distance")
 
 
 def word_places(messages: DataFrame, *, by: str = "message_id") -> DataFrame:

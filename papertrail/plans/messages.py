@@ -249,7 +249,7 @@ def close_terms(spark, sf):
     """Words of conversations that are a slip or two away from a word of the benchmark, or the same."""
     word = lambda t: a.table(spark, sf, t).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()
     known = word("benchmark").select(F.col("word").alias("term"), terms.allowed_slips(F.col("word")).alias("slips"))
-    return terms.close_terms(word("conversations"), known)
+    return terms.close_terms(word("conversations"), known, between=True)
 
 
 _SWAPPED = "[substr(w.word, 1, i - 1) || substr(w.word, i + 1, 1) || substr(w.word, i, 1) || substr(w.word, i + 2) FOR i IN range(1, length(w.word))]"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papertrail.functions.text import jaccard, osa_distance, word_set
+from papertrail.functions.text import damerau_distance, jaccard, osa_distance, word_set
 from papertrail.operators import dedup, terms, vector_join
 
 
@@ -94,6 +94,35 @@ def test_close_terms_equal_all_pairs(spark):
     assert len(want) > 300 and got == want
 
 
+def every_damerau(a, b):
+    """Edits by search: of words that differ by a swap and what has come between, too."""
+    from itertools import product
+
+    def once(w):
+        yield from (w[:i] + w[i + 1 :] for i in range(len(w)))
+        yield from (w[:i] + x + w[i + k :] for i, k, x in product(range(len(w) + 1), (0, 1), "abcd"))
+        yield from (w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1))
+
+    near = {a: 0}
+    for n in (1, 2):
+        for w in list(near):
+            for x in once(w):
+                near.setdefault(x, n)
+    return near.get(b, 3)
+
+
+def test_letters_between_swapped_neighbours(spark):
+    random = np.random.default_rng(13)
+    word = lambda n: "".join(random.choice(list("abcd"), n))
+    pairs = [(word(random.integers(0, 6)), word(random.integers(0, 6))) for _ in range(300)] + [("ca", "abc"), ("abc", "ca"), ("bcad", "babcd")]
+    assert all(damerau_distance(a, b, 2) == every_damerau(a, b) for a, b in pairs)
+    said = spark.createDataFrame([("enlichau",), ("queaitre",)], "word string")
+    known = spark.createDataFrame([("einchauen", 2), ("eienlichau", 2), ("enlichuxa", 2), ("quearietr", 2), ("queaiert", 2)], "term string, slips int")
+    got = {(r["word"], r["term"], r["distance"]) for r in terms.close_terms(said, known, between=True).collect()}
+    assert got == {("enlichau", "eienlichau", 2), ("enlichau", "enlichuxa", 2), ("queaitre", "queaiert", 2)}
+    assert {(r["word"], r["term"]) for r in terms.close_terms(said, known).collect()} == {("enlichau", "eienlichau"), ("queaitre", "queaiert")}
+
+
 def test_places_are_met_by_joins(spark):
     """A hundred thousand places, none of which is sent to all workers."""
     letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
