@@ -389,7 +389,8 @@ def near_dup_classes(spark, sf):
 @query
 def near_dup_vector(spark, sf):
     v = a.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return dedup.similar_vectors(v, least=0.35).withColumn("cosine", F.round("cosine", 6))
+    # the limit holds for the rounded cosine: pairs that reach it only by rounding are found, too
+    return dedup.similar_vectors(v, least=0.35 - 1e-6).withColumn("cosine", F.round("cosine", 6)).filter("cosine >= 0.35")
 
 
 @query

@@ -123,6 +123,15 @@ def test_letters_between_swapped_neighbours(spark):
     assert {(r["word"], r["term"]) for r in terms.close_terms(said, known).collect()} == {("enlichau", "eienlichau"), ("queaitre", "queaiert")}
 
 
+def test_cosines_that_reach_the_limit_by_rounding(spark, tmp_path):
+    from papertrail.plans import queries as plans
+
+    x = [(k, [1.0, 0.0] if k == 0 else [c, (1 - c * c) ** 0.5]) for k, c in enumerate([1.0, 0.3499996, 0.3499994, 0.35])]
+    spark.createDataFrame(x, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["a"], r["b"], r["cosine"]) for r in plans.queries()["near_dup_vector"](spark, str(tmp_path)).collect()}
+    assert {(b, c) for a, b, c in got if a == 0} == {(1, 0.35), (3, 0.35)}
+
+
 def test_places_are_met_by_joins(spark):
     """A hundred thousand places, none of which is sent to all workers."""
     letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
