@@ -118,10 +118,12 @@ def _probes(rows: DataFrame, plan: list[tuple[int, int, int]], carried: list[str
 
 
 def _matched(entries: DataFrame, probes: DataFrame, on: list[str], radius: int) -> DataFrame:
+    """Links of look-ups with the table. Both are shuffled: Spark's estimate of exploded rows is that of the words before,
+    so that it would send many times what it allows through the driver to all workers."""
     other = entries.select(F.col("fp").alias("fp2"), *(F.col(c).alias(f"_{c}") for c in on))
     same = [F.col(c) == F.col(f"_{c}") for c in on]
     near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
-    return probes.join(other, [*same, near]).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    return probes.join(other.hint("merge"), [*same, near]).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
 
 def hamming_links(words: DataFrame, radius: int = 2, m: int = 2) -> DataFrame:

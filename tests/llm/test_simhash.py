@@ -61,6 +61,13 @@ def test_links_with_hot_segments(spark, monkeypatch, hot):
     assert got == sorted((a, b) for a, b in combinations(sorted(words), 2) if (a ^ b).bit_count() <= 2)
 
 
+def test_look_ups_are_never_broadcast(spark):
+    """Their number is estimated as that of the words, of which each has 34."""
+    words = spark.range(2000).select(F.xxhash64("id").alias("fp")).localCheckpoint()
+    plan = simhash.hamming_links(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def shingles(text):
     w = text.encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
