@@ -192,10 +192,9 @@ def node_of(words: list[np.ndarray]) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int, roots: bool) -> Iterator[pa.RecordBatch]:
+def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Of rows (key, fp0, fp1, ...) sorted by key: (key, a, b), links that connect the nodes of each key within `radius`
-    with the smallest that they reach, a; with `roots` also a line (key, a, a) for each node that reaches no smaller one.
-    A node is the hash of its fingerprint (see node_of).
+    with the smallest that they reach, a. A node is the hash of its fingerprint (see node_of).
 
     A spanning set of links leaves, never all pairs. Distances of a key's rows are taken in blocks.
     """
@@ -241,11 +240,8 @@ def _linked_in_buckets(batches: Iterator[pa.RecordBatch], radius: int, roots: bo
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
         at = 0
         for end in ends:
-            if end - at > 1 or roots:
+            if end - at > 1:
                 a, b = near(node[at:end], fps[at:end])
-                if roots:
-                    own = np.setdiff1d(node[at:end], b).tolist()
-                    a, b = a + own, b + own
                 out[0].extend([int(keys[at])] * len(a))
                 out[1].extend(a)
                 out[2].extend(b)
@@ -290,8 +286,9 @@ def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
     places at most of some segment (see segment_plan).
 
     Each node is filed under every value in the Hamming ball of radius 1 around each segment; distances are verified in
-    the buckets. A bucket of over BUCKET nodes is dealt into blocks; what a block links to a smaller node stays behind,
-    and the others meet in a next round. When a round no longer halves a bucket, its blocks meet pair by pair.
+    the buckets. A bucket of over BUCKET nodes is dealt into blocks, and each two of its blocks meet: every pair of its
+    nodes is compared, at a cost that grows with the square of such a bucket. (That a node is linked doesn't spare it: it
+    may be the only one that links others.)
     """
     spark, radius, fps = nodes.sparkSession, 16 * words, [f"fp{k}" for k in range(words)]
     # a key: the number of the segment above its value
@@ -300,30 +297,17 @@ def near_links(nodes: DataFrame, words: int, size: int, m: int) -> DataFrame:
     filed = nodes.select(F.explode(values).alias("value"), *fps).select("value", F.explode(masks).alias("mask"), *fps)
     filed = filed.select(F.col("value").bitwiseXOR(F.col("mask")).alias("key"), *fps)
 
-    def linked(rows: DataFrame, roots: bool = False) -> DataFrame:
+    def linked(rows: DataFrame) -> DataFrame:
         dealt = rows.select("key", *fps).repartition(partitions(spark), "key").sortWithinPartitions("key")
-        return dealt.mapInArrow(lambda batches: _linked_in_buckets(batches, radius, roots), "key long, a long, b long")
+        return dealt.mapInArrow(lambda batches: _linked_in_buckets(batches, radius), "key long, a long, b long")
 
     hot = stored(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "hot")
     if hot.limit(1).count() == 0:
         return fewer_links(linked(filed))
-    out = fewer_links(linked(filed.join(hot, "key", "left_anti")))
-    left = filed.join(hot, "key").withColumn("was", F.lit(None).cast("long"))  # was: the bucket's nodes a round before
-    turn = 0
-    while turn == 0 or left.limit(1).count():
-        blocks = F.ceil(F.col("n") / BUCKET)
-        block = F.pmod(F.xxhash64(*fps, F.lit(turn)), blocks)
-        halved = F.coalesce((F.col("n") <= BUCKET) | (2 * F.col("n") <= F.col("was")), F.lit(True))
-        dealt = left.filter(halved).withColumns({"key2": F.xxhash64("key", block), "node": F.xxhash64(*fps)})
-        own = stored(linked(dealt.select(F.col("key2").alias("key"), *fps), roots=True), "round")
-        paired = left.filter(~halved).withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        paired = linked(paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *fps))
-        out = out.unionByName(stored(fewer_links(own.unionByName(paired)), "links"))
-        roots = own.filter("a = b").select(F.col("key").alias("key2"), F.col("b").alias("node"))
-        rest = stored(dealt.filter(F.col("n") > BUCKET).join(roots, ["key2", "node"], "left_semi").select("key", *fps, F.col("n").alias("was")), "rest")
-        left = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key"), "crowded")
-        turn += 1
-    return out
+    blocks = F.ceil(F.col("n") / BUCKET)
+    crowded = filed.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64(*fps), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    paired = crowded.filter("mine <> other").select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *fps)
+    return fewer_links(linked(filed.join(hot, "key", "left_anti")).unionByName(linked(paired)))
 
 
 def fewer_links(links: DataFrame) -> DataFrame:

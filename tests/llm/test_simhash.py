@@ -262,6 +262,29 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         assert groups(sorted((at[r["a"]], at[r["b"]]) for r in rows)) == want
 
 
+def test_crowded_buckets_keep_links_of_linked_nodes(spark, monkeypatch):
+    """Chains of three, whose ends are linked by the middle only, in one bucket that is dealt into blocks."""
+    rng = np.random.default_rng(14)
+    rest = lambda: [int(x) for x in rng.integers(0, 1 << 16, 7)]
+    chains = []
+    for _ in range(40):
+        own, some = rest(), [rng.permutation(16) for _ in range(7)]  # four bits of seven segments differ in each step
+        step = lambda k: [sum(1 << int(x) for x in p[4 * k : 4 * k + 4]) for p in some]  # noqa: B023, E731
+        middle = [x ^ y for x, y in zip(own, step(0), strict=True)]
+        chains.append([own, middle, [x ^ y for x, y in zip(middle, step(1), strict=True)]])
+    whole = lambda own: sum(x << (16 * k) for k, x in enumerate([77, *own]))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [whole(x) for c in chains for x in c]
+    df = spark.createDataFrame([(signed(w & ((1 << 64) - 1)), signed(w >> 64)) for w in words], "fp0 long, fp1 long").withColumn("node", F.xxhash64("fp0", "fp1"))
+    at = {r["node"]: words.index((r["fp0"] % (1 << 64)) | (r["fp1"] % (1 << 64)) << 64) for r in df.collect()}
+    monkeypatch.setattr(simhash, "BUCKET", 30)
+    top = list(range(len(words)))
+    for r in simhash.near_links(df, 2, 16, 8).collect():
+        x, y = top[at[r["a"]]], top[at[r["b"]]]
+        top = [min(x, y) if t in (x, y) else t for t in top]
+    assert all(top[3 * k] == top[3 * k + 1] == top[3 * k + 2] for k in range(40))
+
+
 def test_clashing_columns_and_text_ids(clashing):
     rows = set(map(tuple, clashing.collect()))
     kept = simhash.drop_near(clashing)
