@@ -232,6 +232,15 @@ def test_covers(spark):
     assert [(round(r["left"], 6), round(r["right"], 6)) for r in pages.covers(inside).collect()] == [(30 - 1.5, 30 + 90 + 1.5)]
 
 
+def test_mask_plans_gather_each_page_once(spark):
+    """Also of words whose page is not known: its numbers are read as any page's, and without boxes it fails closed."""
+    rows = [(None, 1, "2341"), (None, 2, "2341"), (None, 3, "२३४६"), (7, 1, None)]
+    words = spark.createDataFrame([(*r, None, None, None, None) for r in rows], "page_id long, word int, text string, left double, top double, right double, bottom double")
+    plans = pages.mask_plans(words)
+    assert plans._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, plans.collect()), key=str) == [(7, 0, 0, True), (None, 1, 0, False)]
+
+
 def test_merged_readings(spark):
     schema = "page_id long, line int, text string, confidence double, left double, top double, right double, bottom double"
     line = lambda *rows: spark.createDataFrame([(*r[:4], *map(float, r[4:])) for r in rows], schema)
