@@ -398,10 +398,12 @@ def near_duplicates(spark, sf):
     """The cascade: close vectors, then words, then the best earlier match. Documents that begin alike get nearly one vector."""
     e = a.table(spark, sf, "embeddings").select("vec_id", "embedding")
     begin = sum((F.ascii(F.substring("text", k, 1)) * (31 * k * k + 7) for k in range(1, 9)), F.lit(0))
-    d = a.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", (begin % F.lit(e.count())).alias("vec_id")).join(e, "vec_id")
+    d = a.table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    v = d.select("id", (begin % F.lit(e.count())).alias("vec_id")).join(e, "vec_id")
     bent = F.transform("embedding", lambda x, i: x.cast("double") + ((F.col("id") + i) % 3 - 1) * 0.025)
-    d = d.withColumn("bent", bent).withColumn("norm", F.sqrt(F.aggregate("bent", F.lit(0.0), lambda s, x: s + x * x)))
-    found = dedup.near_duplicates(d.select("id", "text", F.transform("bent", lambda x: x / F.col("norm")).alias("vector")))
+    # divided by its length, which is worked out once for all components
+    unit = lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x, lambda s: F.transform(b, lambda x: x / F.sqrt(s)))
+    found = dedup.near_duplicates(d.select("id", "text"), vectors=v.select("id", F.transform(F.array(bent), unit)[0].alias("vector")))
     return found.select("id", "dup_of", F.round("cosine", 6).alias("cosine"))
 
 

@@ -69,6 +69,21 @@ def test_cascade_equals_every_pair(spark):
     assert len(want) > 100 and got == want
 
 
+def test_cascade_with_vectors_apart(spark):
+    """Vectors that have no text have no answer; copies of a vector that isn't close to itself are no duplicates."""
+    texts = spark.createDataFrame([(1, "same words here"), (2, "same words here"), (3, "same words here"), (4, "same words here"), (5, "no vector")], "id long, text string")
+    apart = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [0.6, 0.8]), (4, [0.8, 0.6]), (6, [0.6, 0.8])], "id long, vector array<double>")
+    found = lambda *a, **b: [(r["id"], r["dup_of"], round(r["cosine"], 6)) for r in dedup.near_duplicates(*a, **b).collect()]
+    assert found(texts, vectors=apart) == [(4, 3, 0.96)]
+    assert found(texts.join(apart, "id")) == [(4, 3, 0.96)]
+
+
+def test_only_sets_that_are_asked_for(spark):
+    sets = spark.range(2000).select("id", F.array(F.xxhash64("id")).alias("h"))
+    kept = {r["id"] for r in dedup.only_of(sets, spark.range(0, 2000, 40)).collect()}
+    assert set(range(0, 2000, 40)) <= kept and len(kept) < 100
+
+
 def test_similar_texts_with_words_that_all_share(spark):
     random = np.random.default_rng(10)
     base = [f"w{i}" for i in range(40)]
